@@ -1,0 +1,6 @@
+"""All queries over the reference's own operators, with their SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE: dict = {}

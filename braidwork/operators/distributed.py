@@ -23,9 +23,8 @@ def blocked_prefix_sum(df: DataFrame, group: Sequence[str], order: Sequence[str]
     ``order[0]`` must be a bigint spread evenly over its range (a hash); the rest breaks ties and must make
     the order total. Nulls in ``value`` count as 0. An empty table stays empty.
     """
-    width = 2**64 // blocks + 1
-    low = F.col(order[0]).cast("decimal(20,0)") + F.lit(2**63).cast("decimal(20,0)")
-    cut = df.withColumn("__block", F.floor(low / F.lit(width).cast("decimal(20,0)")).cast("int"))
+    bits = max(1, (blocks - 1).bit_length())
+    cut = df.withColumn("__block", F.shiftright(F.col(order[0]), 64 - bits).cast("int"))
     v = F.coalesce(F.col(value), F.lit(0))
     sums = cut.groupBy(*group, "__block").agg(F.sum(v).alias("__sum"))
     before = Window.partitionBy(*group).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
