@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm import consensus, mixing, packing, tokens, topn
+from braidwork.llm import canonical, consensus, mixing, packing, tokens, topn
 from braidwork.session import materialize, table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.free_values(table(spark, sf_dir, "match_results"), table(spark, sf_dir, "vacancies"), table(spark, sf_dir, "catalog_entries"))
+
+
+def p1_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that mean no entry, with how often they occur."""
+    return p1_found(spark, sf_dir).where(F.col("catalog_id") == 0).groupBy("field_name", "raw_value").agg(F.count("*").alias("n_records"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.best_vacancies(table(spark, sf_dir, "match_results"))
 
@@ -53,7 +62,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p6_found, p6_weighted_consensus, p6_reliability, p6_agreement, p7_pack, p8_mix, p8_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p6_found, p6_weighted_consensus, p6_reliability, p6_agreement, p7_pack, p8_mix, p8_shares)}
 
 _COUNTING = """
 WITH r AS (SELECT DISTINCT ballot_id, annotator, cv_id, vacancy_id, rank_no, annotated_at FROM annotations WHERE ballot_id IS NOT NULL AND annotator IS NOT NULL AND cv_id IS NOT NULL),
