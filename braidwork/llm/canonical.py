@@ -302,7 +302,10 @@ def free_values(match_results: DataFrame, vacancies: DataFrame, catalog: DataFra
     def open_values(array: str) -> Column:
         return F.array_distinct(F.filter(F.coalesce(F.col(array), F.array().cast("array<string>")), lambda v: v.isNotNull() & (v != "") & ~v.isin(names["skill"])))
 
-    fields = F.concat(*[F.transform(open_values(a), lambda v, a=a: F.struct(F.lit(a).alias("field_name"), v.alias("raw_value"))) for a in ("matched_skills", "missing_skills")])
+    def named(array: str) -> Column:
+        return F.transform(open_values(array), lambda v: F.struct(F.lit(array).alias("field_name"), v.alias("raw_value")))
+
+    fields = F.concat(named("matched_skills"), named("missing_skills"))
     skills = match_results.where(F.col("result_id").isNotNull()).select(F.col("result_id").alias("record_id"), F.inline(fields)).select("field_name", "record_id", "raw_value").distinct()
     titles = vacancies.where(F.col("vacancy_id").isNotNull() & (F.col("job_title") != "") & ~F.col("job_title").isin(names["title"])).select(F.lit("job_title").alias("field_name"), F.col("vacancy_id").alias("record_id"), F.col("job_title").alias("raw_value")).distinct()
     return skills.withColumn("catalog_id", resolve_column(F.col("raw_value"), catalog, "skill")).unionByName(titles.withColumn("catalog_id", resolve_column(F.col("raw_value"), catalog, "title")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm import canonical, consensus, mixing, packing, tokens, topn
+from braidwork.llm import canonical, consensus, encoding, mixing, packing, tokens, topn
 from braidwork.session import materialize, table
 
 
@@ -62,7 +62,15 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p6_found, p6_weighted_consensus, p6_reliability, p6_agreement, p7_pack, p8_mix, p8_shares)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.damaged_documents(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.damaged_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p6_found, p6_weighted_consensus, p6_reliability, p6_agreement, p7_pack, p8_mix, p8_shares, p9_found, p9_restored)}
 
 _COUNTING = """
 WITH r AS (SELECT DISTINCT ballot_id, annotator, cv_id, vacancy_id, rank_no, annotated_at FROM annotations WHERE ballot_id IS NOT NULL AND annotator IS NOT NULL AND cv_id IS NOT NULL),
