@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm import canonical, consensus, encoding, mixing, packing, tokens, topn
+from braidwork.llm import canonical, consensus, encoding, language, mixing, nearduplicates, packing, tokens, topn
 from braidwork.session import materialize, table
 
 
@@ -18,10 +18,42 @@ def p1_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_found(spark, sf_dir).where(F.col("catalog_id") == 0).groupBy("field_name", "raw_value").agg(F.count("*").alias("n_records"))
 
 
+def _record_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "vacancies").select(F.lit(0).alias("space"), F.col("vacancy_id").alias("id"), F.col("job_description").alias("text"))
+    return v.unionByName(table(spark, sf_dir, "cv_data").select(F.lit(1).alias("space"), F.col("cv_id").alias("id"), "text"))
+
+
+def _record_table():
+    return F.when(F.col("space") == 0, F.lit("vacancies")).otherwise(F.lit("cv_data")).alias("record_table")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles of three words and a similarity of 0.5, as TESTDATA.md states the cases."""
+    links, members = nearduplicates.similar_sets(_record_texts(spark, sf_dir), k=3, similarity=0.5)
+    return nearduplicates.expand(links, members).select(_record_table(), "id_a", "id_b")
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record with its group of versions and the number of its links."""
+    links, members = nearduplicates.similar_sets(_record_texts(spark, sf_dir), k=3, similarity=0.5)
+    return nearduplicates.groups(links, members).select(_record_table(), F.col("id").alias("record_id"), "group_id", "n_links")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.best_vacancies(table(spark, sf_dir, "match_results"))
 
 
+def p4_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every segment of every record with its language, confidence and ambiguity."""
+    v, c = table(spark, sf_dir, "vacancies"), table(spark, sf_dir, "cv_data")
+    model = language.fit_on([(v, "vacancy_id", "job_description", "lang"), (c, "cv_id", "text", "lang")])
+    return language.label_segments(v, "vacancy_id", "job_description", "lang", model, "vacancies").unionByName(language.label_segments(c, "cv_id", "text", "lang", model, "cv_data"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.wrong_labels(p4_segments(spark, sf_dir))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus.plain_consensus(table(spark, sf_dir, "annotations"))
 
@@ -70,7 +102,7 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.damaged_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p6_found, p6_weighted_consensus, p6_reliability, p6_agreement, p7_pack, p8_mix, p8_shares, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_groups, p3_found, p4_found, p4_segments, p6_found, p6_weighted_consensus, p6_reliability, p6_agreement, p7_pack, p8_mix, p8_shares, p9_found, p9_restored)}
 
 _COUNTING = """
 WITH r AS (SELECT DISTINCT ballot_id, annotator, cv_id, vacancy_id, rank_no, annotated_at FROM annotations WHERE ballot_id IS NOT NULL AND annotator IS NOT NULL AND cv_id IS NOT NULL),
@@ -81,7 +113,19 @@ v AS (SELECT r.cv_id, r.annotator, r.vacancy_id, r.rank_no FROM r JOIN n USING (
 c AS (SELECT * FROM v WHERE cv_id IN (SELECT cv_id FROM v GROUP BY 1 HAVING count(DISTINCT annotator) >= 2))
 """
 
+def _shingles(table_name: str, key: str, text: str) -> str:
+    """One row per record and distinct run of three words, with the size of the record's set."""
+    return f"""SELECT DISTINCT '{table_name}' AS record_table, {key} AS id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s
+FROM (SELECT {key}, w, unnest(range(1, len(w) - 1)) AS i FROM (SELECT {key}, regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table_name} WHERE {text} IS NOT NULL) WHERE len(w) >= 3)"""
+
+
 ORACLE = {
+    "p2_found": f"""
+WITH s AS ({_shingles("vacancies", "vacancy_id", "job_description")} UNION ALL {_shingles("cv_data", "cv_id", "text")}),
+n AS (SELECT record_table, id, count(*) AS n FROM s GROUP BY ALL),
+c AS (SELECT a.record_table, a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b ON a.record_table = b.record_table AND a.s = b.s AND a.id < b.id GROUP BY ALL)
+SELECT c.record_table, id_a, id_b FROM c JOIN n x ON x.record_table = c.record_table AND x.id = id_a JOIN n y ON y.record_table = c.record_table AND y.id = id_b
+WHERE 2 * c >= x.n + y.n - c""",
     "p3_found": """
 WITH ok AS (SELECT DISTINCT * FROM match_results WHERE total_score IS NOT NULL AND NOT isnan(total_score) AND total_score BETWEEN 0 AND 100 AND cv_id IS NOT NULL AND vacancy_id IS NOT NULL),
 last AS (SELECT cv_id, vacancy_id, total_score FROM ok QUALIFY row_number() OVER (PARTITION BY cv_id, vacancy_id ORDER BY scored_at DESC NULLS LAST, result_id DESC) = 1),
