@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm import canonical, consensus, encoding, language, mixing, nearduplicates, packing, tokens, topn
+from braidwork.llm import canonical, consensus, encoding, language, mixing, nearduplicates, packing, personal, tokens, topn
 from braidwork.session import materialize, table
 
 
@@ -54,6 +54,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.wrong_labels(p4_segments(spark, sf_dir))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.find(table(spark, sf_dir, "cv_data"), "cv_id", "text")[0]
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.find(table(spark, sf_dir, "cv_data"), "cv_id", "text")[1]
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus.plain_consensus(table(spark, sf_dir, "annotations"))
 
@@ -102,7 +110,7 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.damaged_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_groups, p3_found, p4_found, p4_segments, p6_found, p6_weighted_consensus, p6_reliability, p6_agreement, p7_pack, p8_mix, p8_shares, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_groups, p3_found, p4_found, p4_segments, p5_found, p5_redacted, p6_found, p6_weighted_consensus, p6_reliability, p6_agreement, p7_pack, p8_mix, p8_shares, p9_found, p9_restored)}
 
 _COUNTING = """
 WITH r AS (SELECT DISTINCT ballot_id, annotator, cv_id, vacancy_id, rank_no, annotated_at FROM annotations WHERE ballot_id IS NOT NULL AND annotator IS NOT NULL AND cv_id IS NOT NULL),
