@@ -14,7 +14,11 @@ from braidwork.session import materialize
 
 WORD = re.compile(r"[^\W_]+")
 COORDS = 32
+#: Tokens of a path that are chosen at once at its root.
+ROOT = 2
 SKETCH = 256
+#: Ids that are broadcast at most, about 30 MB.
+BROADCAST_IDS = 500_000
 MASK = (1 << 64) - 1
 
 
@@ -83,15 +87,21 @@ def signatures(docs: DataFrame, k: int, seed: int = 7) -> DataFrame:
 
 
 def runs_needed(similarity: float, recall: float, branches: int, depth: int) -> int:
-    """Root coordinates after which a pair at the threshold has met in a bucket of depth ``depth`` with probability
-    ``recall``: a pair that shares a bucket shares each of its children with probability ``similarity``."""
+    """Runs after which a pair at the threshold has met in a bucket of depth ``depth`` with probability ``recall``: a
+    pair that shares a bucket shares each of its children with probability ``similarity``."""
     lost = 0.0
-    for _ in range(depth - 1):
+    for _ in range(depth - ROOT):
         lost = (1 - similarity + similarity * lost) ** branches
-    one = 1 - similarity + similarity * lost
+    one = 1 - similarity**ROOT * (1 - lost)
     return max(1, int(np.ceil(np.log(1 - recall) / np.log(one))))
 
 
+def _root_coordinates(runs: int) -> list[tuple[int, int]]:
+    """Two coordinates for each run, every coordinate about as often as any other, no two twice."""
+    out = [(c, c + d) for d in (COORDS // 2, *range(1, COORDS // 2)) for c in range(COORDS - d) if d == COORDS // 2 or c // d % 2 == 0]
+    return out[:runs]
+
+
 def _close(similarity: float) -> Column:
     """Whether two sketches agree as much as those of sets at the threshold do, less 3.3 standard deviations."""
     p = (1 + similarity) / 2
@@ -110,21 +120,21 @@ def _pairs(left: DataFrame, on: list[str], similarity: float, extra: Column | No
     return a.join(b, cond).select(F.col("a.space"), F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
 
 
-def candidates(sigs: DataFrame, similarity: float, recall: float = 0.995, limit: int = 40, branches: int = 3, depth: int = 6) -> DataFrame:
+def candidates(sigs: DataFrame, similarity: float, recall: float = 0.995, limit: int = 128, branches: int = 3, depth: int = 6) -> DataFrame:
     """``space, id_a, id_b`` of set pairs that may be similar, from ``signatures`` of different sets.
 
-    Level by level, every set goes into the buckets of its coordinates' values. Buckets of one set end. Buckets of up
+    In every run a set goes into the bucket of two of its coordinates' values. Buckets of one set end. Buckets of up
     to ``limit`` sets are compared by their sketches. The sets of larger buckets choose ``branches`` further
-    coordinates, the same for the whole bucket, and go on. The number of coordinates at the root is that after which
-    a pair at the threshold has met with probability ``recall``. Buckets that are too large at ``depth`` are compared
-    in blocks, so that no pair is given up.
+    coordinates, the same for the whole bucket, and go on, level by level. There are as many runs as it takes for a
+    pair at the threshold to meet with probability ``recall``. Buckets that are too large at ``depth`` are compared in
+    blocks, so that no pair is given up.
     """
-    roots = min(COORDS, runs_needed(similarity, recall, branches, depth))
     light = sigs.select("space", "id", "coords")
-    state = light.select("space", "id", F.explode(F.array(*[F.xxhash64("space", F.lit(c), F.col("coords")[c]) for c in range(roots)])).alias("path"))
+    roots = _root_coordinates(runs_needed(similarity, recall, branches, depth))
+    state = light.select("space", "id", F.explode(F.array(*[F.xxhash64("space", F.lit(i), F.col("coords")[c], F.col("coords")[d]) for i, (c, d) in enumerate(roots)])).alias("path"))
     sketched = sigs.select("space", "id", "n", "s0", "s1", "s2", "s3")
     found = None
-    for level in range(1, depth + 1):
+    for level in range(ROOT, depth + 1):
         state = state.repartition("path")
         sizes = state.groupBy("path").agg(F.count("*").alias("size")).where(F.col("size") > 1)
         state = materialize(state.join(sizes.hint("shuffle_hash"), "path"), "buckets")
@@ -173,7 +183,10 @@ def similar_sets(docs: DataFrame, k: int = 5, similarity: float = 0.8, recall: f
     distinct_sets = materialize(sigs.join(heads, ["space", "id", "fp1", "fp2", "n"], "left_semi").dropDuplicates(["space", "id"]), "sets")
     maybe = materialize(candidates(distinct_sets, similarity, recall), "candidates")
     wanted = maybe.select("space", F.col("id_a").alias("id")).unionByName(maybe.select("space", F.col("id_b").alias("id"))).distinct()
-    sets = materialize(_sets(docs.join(wanted, ["space", "id"], "left_semi").dropDuplicates(["space", "id", "text"]), k).dropDuplicates(["space", "id"]), "shingles")
+    wanted = materialize(wanted, "wanted")
+    if wanted.count() <= BROADCAST_IDS:  # then the texts need not be shuffled
+        wanted = F.broadcast(wanted)
+    sets = _sets(docs.join(wanted, ["space", "id"], "left_semi"), k).dropDuplicates(["space", "id"])
     a = sets.select("space", F.col("id").alias("id_a"), F.col("shingles").alias("sa"))
     b = sets.select("space", F.col("id").alias("id_b"), F.col("shingles").alias("sb"))
     both = maybe.join(a, ["space", "id_a"]).join(b, ["space", "id_b"]).withColumn("common", F.size(F.array_intersect("sa", "sb")))
