@@ -19,7 +19,6 @@ ROOT = 2
 SKETCH = 256
 #: Ids that are broadcast at most, about 30 MB.
 BROADCAST_IDS = 500_000
-MASK = (1 << 64) - 1
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -64,8 +63,8 @@ def signatures(docs: DataFrame, k: int, seed: int = 7) -> DataFrame:
     of further min-hashes.
     """
     rng = np.random.default_rng(seed)
-    a = (rng.integers(0, MASK, COORDS + SKETCH, dtype="uint64", endpoint=True) | np.uint64(1))[:, None]
-    b = rng.integers(0, MASK, COORDS + SKETCH, dtype="uint64", endpoint=True)[:, None]
+    a = (rng.integers(0, 1 << 32, COORDS + SKETCH, dtype="uint32") | np.uint32(1))[:, None]
+    b = rng.integers(0, 1 << 32, COORDS + SKETCH, dtype="uint32")[:, None]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingler(k)
@@ -76,8 +75,9 @@ def signatures(docs: DataFrame, k: int, seed: int = 7) -> DataFrame:
                     s = shingles(text) if text else ()
                     if len(s) == 0:
                         continue
-                    m = (a * s[None, :] + b).min(axis=1)
-                    low = _mix(m)
+                    m = a * (s >> np.uint64(32)).astype("uint32")
+                    m += b
+                    low = _mix(m.min(axis=1).astype("uint64") << np.uint64(20))
                     bits = np.packbits((low[COORDS:] & np.uint64(1)).astype("uint8")).view("int64")
                     fp = s.sum(), np.bitwise_xor.reduce(_mix(s + np.uint64(seed)))
                     out.append((space, i, len(s), *np.array(fp, "uint64").view("int64").tolist(), low[:COORDS].astype("uint32").view("int32"), *bits.tolist()))
