@@ -28,32 +28,35 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class WordHashes(dict):
+    """Word -> 64-bit hash, computed when it is first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
 class Shingler:
     """64-bit hashes of all runs of ``k`` consecutive words (longest runs of letters and digits, lower-cased)."""
 
     def __init__(self, k: int) -> None:
-        self.k, self.known = k, {}
+        self.k, self.known = k, WordHashes()
+        self.factors = [np.uint64(int(f) | 1) for f in np.random.default_rng(k).integers(1, 1 << 63, k)]
 
     def __call__(self, text: str) -> np.ndarray:
-        import xxhash
-
         words = WORD.findall(text.lower())
-        if len(words) < self.k:
+        n = len(words) - self.k + 1
+        if n < 1:
             return np.empty(0, "uint64")
         if len(self.known) > 500_000:
             self.known.clear()
-        known = self.known
-        h = np.empty(len(words), "uint64")
-        for i, w in enumerate(words):
-            x = known.get(w)
-            if x is None:
-                x = known[w] = xxhash.xxh64_intdigest(w)
-            h[i] = x
-        n = len(words) - self.k + 1
-        s = np.zeros(n, "uint64")
-        for j in range(self.k):
-            s = _mix(s * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n] + np.uint64(j + 1))
-        return np.unique(s)
+        h = np.fromiter(map(self.known.__getitem__, words), "uint64", len(words))
+        s = h[:n] * self.factors[0]
+        for j in range(1, self.k):
+            s += h[j : j + n] * self.factors[j]
+        return np.unique(_mix(s))
 
 
 def signatures(docs: DataFrame, k: int, seed: int = 7) -> DataFrame:
