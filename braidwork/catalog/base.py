@@ -80,4 +80,13 @@ def listed_sql(cases) -> str:
     return "concat_ws(','" + "".join(f", CASE WHEN {c} THEN {t} END" for c, t in cases) + ")"
 
 
-__all__ = ["CV", "VAC", "F", "Tables", "count_sql", "first_section_sql", "has_word_sql", "listed_sql", "lit", "query", "strip_sql", "words_sql"]
+def rnd(c, n: int):
+    """Rounded half up in binary, the same in both engines; ``round`` differs at ties."""
+    return F.floor(c * F.lit(10.0**n) + F.lit(0.5)) / F.lit(10.0**n)
+
+
+def rnd_sql(x: str, n: int) -> str:
+    return f"floor(({x}) * {10.0**n:.1f}::DOUBLE + 0.5::DOUBLE) / {10.0**n:.1f}::DOUBLE"
+
+
+__all__ = ["rnd", "rnd_sql", "CV", "VAC", "F", "Tables", "count_sql", "first_section_sql", "has_word_sql", "listed_sql", "lit", "query", "strip_sql", "words_sql"]

@@ -20,13 +20,21 @@ def top_keywords(docs: DataFrame, key: str, text: str, n: int = 10) -> DataFrame
 
 
 def char_ngrams(text: Column, sizes: Sequence[int] = (1, 2, 3)) -> Column:
-    """All character n-grams of the lower-cased text, white-space runs as one blank."""
-    t = F.regexp_replace(F.lower(text), r"\s\s+", " ")
-    return F.concat(*[F.when(F.length(t) >= n, _grams(t, n)).otherwise(F.array().cast("array<string>")) for n in sizes])
+    """All character n-grams of the lower-cased text, white-space runs as one blank.
+
+    The text is cut into characters once; longer n-grams are joined from shifted slices, in time linear in the text.
+    """
+    chars = F.filter(F.split(F.regexp_replace(F.lower(text), r"\s\s+", " "), ""), lambda c: c != "")
+    return F.concat(*[_shifted(chars, n, "") for n in sizes])
 
 
-def _grams(t: Column, n: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (n - 1), F.lit(1))), lambda i: t.substr(i, F.lit(n)))
+def _shifted(items: Column, n: int, glue: str) -> Column:
+    """All runs of ``n`` neighbouring items, joined."""
+    length = F.greatest(F.size(items) - (n - 1), F.lit(0))
+    out = F.slice(items, 1, length)
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(items, 1 + k, length), lambda a, b: F.concat_ws(glue, a, b))
+    return out
 
 
 def tokens(text: Column) -> Column:
@@ -37,18 +45,7 @@ def tokens(text: Column) -> Column:
 def word_ngrams(text: Column, most: int = 2) -> Column:
     """Word n-grams of 1 to ``most`` words, after stop words are removed."""
     w = tokens(text)
-    grams = [w]
-    for n in range(2, most + 1):
-        shifted = [F.slice(w, 1 + k, F.greatest(F.size(w) - (n - 1), F.lit(0))) for k in range(n)]
-        grams.append(_join(shifted))
-    return F.concat(*grams)
-
-
-def _join(columns: list[Column]) -> Column:
-    out = columns[0]
-    for c in columns[1:]:
-        out = F.zip_with(out, c, lambda a, b: F.concat_ws(" ", a, b))
-    return out
+    return F.concat(*[_shifted(w, n, " ") for n in range(1, most + 1)])
 
 
 def term_counts(docs: DataFrame, keys: Sequence[str], grams: Column) -> DataFrame:
