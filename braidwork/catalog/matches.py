@@ -15,6 +15,7 @@ from braidwork.operators import ranking as R
 from braidwork.operators import semantic as S
 from braidwork.operators import terms as G
 from braidwork.operators.pairs import scored_pairs
+from braidwork.session import materialize
 
 _STOP = ", ".join(lit(s) for s in X.STOP_WORDS)
 #: ``kind, id, text`` of both sides: one corpus.
@@ -44,9 +45,8 @@ def counts(t: Tables) -> DataFrame:
 
 def weights(t: Tables, sublinear: bool = True) -> DataFrame:
     """TF-IDF of both sides over one corpus and its 1000 most frequent terms."""
-    n = docs(t).count()
-    c = counts(t)
-    return G.tfidf(c, ["kind", "id"], n, G.vocabulary(c, 1000), sublinear)
+    c = materialize(counts(t), "counts")
+    return materialize(G.tfidf(c, ["kind", "id"], docs(t).count(), G.vocabulary(c, 1000), sublinear), "weights")
 
 
 def text_pairs(t: Tables) -> DataFrame:
@@ -266,7 +266,7 @@ _M = f"""(SELECT *, list_filter(each, lambda s: NOT list_contains(matched, s)) A
 
 def features(t: Tables) -> tuple[DataFrame, DataFrame]:
     syn = K.synonym_map(t.catalog_entries)
-    return K.cv_features(t.cv_data.select("cv_id", "skills").distinct(), syn), K.vacancy_features(t.vac, syn)
+    return materialize(K.cv_features(t.cv_data.select("cv_id", "skills").distinct(), syn), "cv"), materialize(K.vacancy_features(t.vac, syn), "vac")
 
 
 def matches(t: Tables) -> DataFrame:

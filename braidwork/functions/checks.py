@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from braidwork.functions import lexicons as X
-from braidwork.functions.text import contained, has_word, strip, words
+from braidwork.functions.text import contained, has_word, let, strip, words
 
 ISSUE = "array<struct<type:string,severity:string,detail:string>>"
 
@@ -72,12 +72,12 @@ def consistency(experience: Column, skill_list: Column) -> Column:
 def grammar(text: Column) -> Column:
     """Struct of error, warning and suggestion counts and the score ``max(0, 100 - 5e - 2w - s)``."""
     low = F.lower(text)
-    w = words(low)
-    twice = F.size(F.filter(F.arrays_zip(w.alias("a"), F.slice(w, 2, F.greatest(F.size(w), F.lit(1))).alias("b")), lambda z: (z["a"] == z["b"]) & (F.length(z["a"]) > 1)))
+    twice = let(words(low), lambda w: F.size(F.filter(F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: (a == b) & (F.length(a) > 1)), lambda x: x)))
     errors = F.exists(F.transform(F.split(text, r"[.!?]+"), strip), lambda s: s.rlike(r"^\p{Ll}")).cast("int")
     warnings = text.rlike(r"\s{2,}").cast("int") + twice
     hints = (low.contains("javascript") & low.contains("java script")).cast("int")
-    return F.struct(errors.alias("errors"), warnings.alias("warnings"), hints.alias("suggestions"), F.greatest(F.lit(0), 100 - 5 * errors - 2 * warnings - hints).alias("score"))
+    counts = F.struct(errors.alias("e"), warnings.alias("w"), hints.alias("s"))
+    return let(counts, lambda c: F.struct(c["e"].alias("errors"), c["w"].alias("warnings"), c["s"].alias("suggestions"), F.greatest(F.lit(0), 100 - 5 * c["e"] - 2 * c["w"] - c["s"]).alias("score")))
 
 
 def languagetool_score(errors: Column, warnings: Column, suggestions: Column, n_words: Column) -> Column:

@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from braidwork.functions import lexicons as X
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: inlined expressions would repeat it wherever it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
@@ -54,7 +59,9 @@ def clean(text: Column, remove_numbers: bool = True) -> Column:
     edge = r"(?<![\p{L}\p{N}_])%s\d+(?![\p{L}\p{N}_])"
 
     def line(raw: Column) -> Column:
-        l = F.lower(raw)
+        return let(F.lower(raw), cleaned)
+
+    def cleaned(l: Column) -> Column:
         if remove_numbers:
             year = r"(?<![\p{L}\p{N}_])%s\d{2}(?![\p{L}\p{N}_])"
             y19, y20 = l.rlike(year % "19"), l.rlike(year % "20")
@@ -100,14 +107,20 @@ def explicit_years(text: Column) -> Column:
 
 def experience_section(text: Column) -> Column:
     """Lines after the first experience header up to a header of another section, without blank lines."""
-    lines = F.split(text, "\n")
-    bare = F.transform(lines, lambda l: F.lower(strip(l)))
-    start = F.array_min(F.transform(F.array(*[F.lit(h) for h in X.EXPERIENCE_HEADERS]), lambda h: F.nullif(F.array_position(bare, h), F.lit(0).cast("bigint"))))
-    rest = F.slice(lines, start.cast("int") + 1, F.size(lines))
-    rest_bare = F.transform(rest, lambda l: F.lower(strip(l)))
-    stop = F.array_min(F.transform(F.array(*[F.lit(h) for h in X.STOP_HEADERS]), lambda h: F.nullif(F.array_position(rest_bare, h), F.lit(0).cast("bigint"))))
-    kept = F.slice(rest, 1, F.coalesce(stop.cast("int") - 1, F.size(rest)))
-    return F.when(start.isNull(), F.lit("")).otherwise(F.array_join(F.filter(kept, lambda l: strip(l) != ""), "\n"))
+    def first(bare: Column, names: Sequence[str]) -> Column:
+        return F.array_min(F.transform(F.array(*[F.lit(h) for h in names]), lambda h: F.nullif(F.array_position(bare, h), F.lit(0).cast("bigint")))).cast("int")
+
+    def bare(lines: Column) -> Column:
+        return F.transform(lines, lambda l: F.lower(strip(l)))
+
+    def up_to_stop(rest: Column) -> Column:
+        kept = let(first(bare(rest), X.STOP_HEADERS), lambda stop: F.slice(rest, 1, F.coalesce(stop - 1, F.size(rest))))
+        return F.array_join(F.filter(kept, lambda l: strip(l) != ""), "\n")
+
+    def from_start(lines: Column) -> Column:
+        return let(first(bare(lines), X.EXPERIENCE_HEADERS), lambda start: F.when(start.isNull(), F.lit("")).otherwise(let(F.slice(lines, start + 1, F.size(lines)), up_to_stop)))
+
+    return let(F.split(text, "\n"), from_start)
 
 
 def work_periods(section: Column, as_of: int = 2026) -> Column:
@@ -136,8 +149,7 @@ def merged_years(periods: Column, tolerance: int = 0) -> Column:
 
 def experience(text: Column, as_of: int = 2026) -> Column:
     """Years of experience: the union of the experience section's periods, or explicit years without a section."""
-    section = experience_section(text)
-    return F.when(section == "", explicit_years(text)).otherwise(merged_years(work_periods(section, as_of)).cast("double"))
+    return let(experience_section(text), lambda s: F.when(s == "", explicit_years(text)).otherwise(merged_years(work_periods(s, as_of)).cast("double")))
 
 
 def prepare(text: Column, most: int = 2000) -> Column:
@@ -156,7 +168,7 @@ def chunks(text: Column, most: int = 10) -> Column:
 def summary(text: Column, sentences: int = 10, most: int = 2000) -> Column:
     """The first sentences of more than 20 characters; a text of no more sentences is cut at ``most``."""
     s = F.filter(F.transform(F.split(text, r"[.!?]+"), strip), lambda x: F.length(x) > 20)
-    return F.substring(F.when(F.size(s) <= sentences, text).otherwise(F.concat(F.array_join(F.slice(s, 1, sentences), ". "), F.lit("."))), 1, most)
+    return F.substring(let(s, lambda a: F.when(F.size(a) <= sentences, text).otherwise(F.concat(F.array_join(F.slice(a, 1, sentences), ". "), F.lit(".")))), 1, most)
 
 
 def raw_summary(text: Column, sentences: int = 10) -> Column:
@@ -174,7 +186,7 @@ def tech_skills(text: Column) -> Column:
         as_word = has_word(t, [term]) if term[-1].isalnum() else t.rlike(rf"(?:^|[^\p{{L}}\p{{N}}_]){quoted}{X.W}")
         return t.contains(term) & (as_word | t.rlike(rf"(?:^|[\s,;]){quoted}(?:$|[\s,;])"))
 
-    return found(low, X.TECH_TERMS, test)
+    return let(low, lambda l: found(l, X.TECH_TERMS, test))
 
 
 def category_skills(text: Column, category: str) -> Column:
@@ -187,7 +199,7 @@ def category_skills(text: Column, category: str) -> Column:
         return as_word | (t.contains(term) if " " in term else F.lit(False)) | (t.contains("spring boot") if term == "springboot" else F.lit(False))
 
     terms = X.CATEGORIES.get(category, ())
-    return found(low, terms, test) if terms else F.array().cast("array<string>")
+    return let(low, lambda l: found(l, terms, test)) if terms else F.array().cast("array<string>")
 
 
 def month_name(n: Column) -> Column:
@@ -196,15 +208,15 @@ def month_name(n: Column) -> Column:
 
 def guess_language(text: Column, least: int = 50) -> Column:
     """``en``, ``ru`` or ``unknown``, by the share of Cyrillic letters and by frequent words."""
-    low = F.lower(text)
-    tokens = F.regexp_extract_all(low, F.lit(r"(\p{L}+)"), F.lit(1))
-    n = {lang: F.size(F.filter(tokens, _in(ws))) for lang, ws in X.FREQUENT_WORDS.items()}
-    cyrillic = F.length(F.regexp_replace(low, r"[^\p{IsCyrillic}]", ""))
-    letters = F.length(F.regexp_replace(low, r"[^\p{L}]", ""))
-    return (
-        F.when(text.isNull() | (F.length(strip(text)) < least), "unknown").when(2 * cyrillic > letters, "ru")
-        .when((n["en"] > 0) & (n["en"] > F.greatest(n["de"], n["fr"], n["es"], n["pt"])), "en").otherwise("unknown")
-    )
+    def choose(low: Column) -> Column:
+        tokens = F.regexp_extract_all(low, F.lit(r"(\p{L}+)"), F.lit(1))
+        n = let(tokens, lambda t: F.struct(*[F.size(F.filter(t, _in(ws))).alias(lang) for lang, ws in X.FREQUENT_WORDS.items()]))
+        cyrillic = F.length(F.regexp_replace(low, r"[^\p{IsCyrillic}]", ""))
+        letters = F.length(F.regexp_replace(low, r"[^\p{L}]", ""))
+        english = let(n, lambda c: (c["en"] > 0) & (c["en"] > F.greatest(c["de"], c["fr"], c["es"], c["pt"])))
+        return F.when(2 * cyrillic > letters, "ru").when(english, "en").otherwise("unknown")
+
+    return F.when(text.isNull() | (F.length(strip(text)) < least), "unknown").otherwise(let(F.lower(text), choose))
 
 
 def _in(ws: Sequence[str]):

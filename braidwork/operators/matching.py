@@ -46,9 +46,9 @@ def canonical(skills: Column, synonyms: dict[str, str]) -> Column:
 
 
 def cv_features(cvs: DataFrame, synonyms: dict[str, str]) -> DataFrame:
-    """``cv_id, raw, norm, canon`` of ``cv_id, skills``."""
+    """``cv_id, raw, norm, canon`` of ``cv_id, skills``; ``raw`` are the words of each skill as it stands."""
     raw = F.transform(F.filter(F.coalesce("skills", F.array().cast("array<string>")), lambda s: s.isNotNull()), F.lower)
-    return cvs.select("cv_id", raw.alias("raw"), normalize(F.col("skills")).alias("norm")).withColumn("canon", canonical(F.col("norm"), synonyms))
+    return cvs.select("cv_id", F.transform(raw, lambda s: F.split(s, r"\s+")).alias("raw"), normalize(F.col("skills")).alias("norm")).withColumn("canon", canonical(F.col("norm"), synonyms))
 
 
 def named_after(text: Column, marker: str, skill: Column) -> Column:
@@ -79,7 +79,7 @@ def vacancy_features(vacancies: DataFrame, synonyms: dict[str, str]) -> DataFram
     critical = F.filter("each", lambda s: named_after(low, X.CRITICAL[0], s) | named_after(low, X.CRITICAL[1], s) | named_after(low, X.CRITICAL[2], s))
     return v.select(
         "vacancy_id", "low", "skills", "terms", "each", canonical(F.col("each"), synonyms).alias("vcanon"), F.transform("each", lambda s: weight(low, s)).alias("w"),
-        F.regexp_extract("low", X.MUST_SECTION, 1).alias("must"), critical.alias("critical"),
+        F.regexp_extract("low", X.MUST_SECTION, 1).alias("must"), critical.alias("critical"), phrases(F.col("each")).alias("phrases"),
     ).withColumn("weights", F.map_from_arrays("each", "w"))
 
 
@@ -100,14 +100,15 @@ def fuzzy_table(left: DataFrame, right: DataFrame, threshold: float = 0.85, band
     return pairs.withColumn("ratio", ratio("a", "b")).where(F.col("ratio") > threshold)
 
 
-def partial_matches(terms: Column, raw: Column) -> Column:
-    """Phrases of two or more words of which a resume skill has at least half."""
+def phrases(terms: Column) -> Column:
+    """``array<struct<term,words>>`` of the terms of two or more different words."""
+    return F.filter(F.transform(terms, lambda v: F.struct(v.alias("term"), F.array_distinct(F.split(v, r"\s+")).alias("words"))), lambda x: F.size(x["words"]) > 1)
 
-    def hit(v: Column) -> Column:
-        vw = F.array_distinct(F.split(v, r"\s+"))
-        return (F.size(vw) > 1) & F.exists(raw, lambda r: 2 * F.size(F.array_intersect(vw, F.split(r, r"\s+"))) >= F.size(vw))
 
-    return F.filter(terms, hit)
+def partial_matches(own_phrases: Column, raw: Column) -> Column:
+    """Phrases of which a resume skill has at least half of the words."""
+    hits = F.filter(own_phrases, lambda v: F.exists(raw, lambda r: 2 * F.size(F.array_intersect(v["words"], r)) >= F.size(v["words"])))
+    return F.transform(hits, lambda v: v["term"])
 
 
 def keyword_match(pairs: DataFrame, cvs: DataFrame, vacancies: DataFrame, fuzzy: DataFrame | None = None) -> DataFrame:
@@ -126,7 +127,7 @@ def keyword_match(pairs: DataFrame, cvs: DataFrame, vacancies: DataFrame, fuzzy:
         cvs = cvs.withColumn("reach", none)
     d = pairs.join(cvs, "cv_id").join(vacancies, "vacancy_id")
     d = d.withColumn("exact", F.array_intersect("each", "norm")).withColumn("synonym", F.array_intersect("vcanon", "canon"))
-    d = d.withColumn("fuzzy", F.array_intersect("each", F.coalesce("reach", none))).withColumn("partial", partial_matches(F.col("each"), F.col("raw")))
+    d = d.withColumn("fuzzy", F.array_intersect("each", F.coalesce("reach", none))).withColumn("partial", partial_matches(F.col("phrases"), F.col("raw")))
     d = d.withColumn("matched", F.array_distinct(F.concat("exact", "synonym", "fuzzy", "partial"))).withColumn("missing", F.array_except("each", "matched"))
     got = F.aggregate("matched", F.lit(0.0), lambda s, m: s + F.coalesce(F.try_element_at("weights", m), F.lit(0.9)))
     whole = F.aggregate("terms", F.lit(0.0), lambda s, m: s + F.coalesce(F.try_element_at("weights", m), F.lit(1.0)))

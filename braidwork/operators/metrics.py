@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from braidwork.functions.text import let
+
 
 def aligned(pred: DataFrame, truth: DataFrame, keys: list[str], item: str, pred_rank: str, true_rank: str) -> DataFrame:
     """``keys, p, t``: the ranks of the items that both have, as arrays in order of the item."""
@@ -32,11 +34,14 @@ def average_ranks(a: Column) -> Column:
 
 def spearman(p: Column, t: Column) -> Column:
     """Pearson's correlation of the average ranks; null where one side is constant."""
-    a, b = average_ranks(p), average_ranks(t)
-    ma, mb = _mean(a), _mean(b)
-    cov = _sum(F.zip_with(a, b, lambda x, y: x * y)) - F.size(a) * ma * mb
-    va, vb = _sum(F.transform(a, lambda x: x * x)) - F.size(a) * ma * ma, _sum(F.transform(b, lambda x: x * x)) - F.size(b) * mb * mb
-    return F.when((va > 1e-12) & (vb > 1e-12), cov / F.sqrt(va * vb))
+    def centred(a: Column) -> Column:
+        return let(_mean(a), lambda m: F.transform(a, lambda x: x - m))
+
+    def moments(r: Column) -> Column:
+        return F.struct(_sum(F.zip_with(r["a"], r["b"], lambda x, y: x * y)).alias("ab"), _sum(F.transform(r["a"], lambda x: x * x)).alias("aa"), _sum(F.transform(r["b"], lambda x: x * x)).alias("bb"))
+
+    ranks = F.struct(let(average_ranks(p), centred).alias("a"), let(average_ranks(t), centred).alias("b"))
+    return let(let(ranks, moments), lambda m: F.when((m["aa"] > 1e-12) & (m["bb"] > 1e-12), m["ab"] / F.sqrt(m["aa"] * m["bb"])))
 
 
 def spearman_p(rho: Column) -> Column:
@@ -48,12 +53,16 @@ def spearman_p(rho: Column) -> Column:
 def alpha(p: Column, t: Column) -> Column:
     """Krippendorff's alpha with self-pairs counted: 1 less the mean squared gap over four pooled variances, on the
     values' indexes among the distinct values; 1 without variance."""
-    pool = F.array_sort(F.array_distinct(F.concat(p, t)))
-    ip, it = (F.transform(x, lambda v: F.array_position(pool, v).cast("double")) for x in (p, t))
-    both = F.concat(ip, it)
-    m = _mean(both)
-    var = _mean(F.transform(both, lambda x: (x - m) * (x - m)))
-    return F.when(var == 0, 1.0).otherwise(1 - _mean(_square_gap(ip, it)) / (4 * var))
+    def indexes(pool: Column) -> Column:
+        return F.struct(*[F.transform(x, lambda v: F.array_position(pool, v).cast("double")).alias(n) for x, n in ((p, "p"), (t, "t"))])
+
+    def variance(both: Column) -> Column:
+        return let(_mean(both), lambda m: _mean(F.transform(both, lambda x: (x - m) * (x - m))))
+
+    def of(i: Column) -> Column:
+        return let(let(F.concat(i["p"], i["t"]), variance), lambda var: F.when(var == 0, 1.0).otherwise(1 - _mean(_square_gap(i["p"], i["t"])) / (4 * var)))
+
+    return let(let(F.array_sort(F.array_distinct(F.concat(p, t))), indexes), of)
 
 
 def kappa(p: Column, t: Column, weights: str | None = "quadratic") -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidwork.functions.lexicons import KEYWORD_STOP_WORDS, STOP_WORDS
+from braidwork.functions.text import let
 
 
 def top_keywords(docs: DataFrame, key: str, text: str, n: int = 10) -> DataFrame:
@@ -25,7 +26,7 @@ def char_ngrams(text: Column, sizes: Sequence[int] = (1, 2, 3)) -> Column:
     The text is cut into characters once; longer n-grams are joined from shifted slices, in time linear in the text.
     """
     chars = F.filter(F.split(F.regexp_replace(F.lower(text), r"\s\s+", " "), ""), lambda c: c != "")
-    return F.concat(*[_shifted(chars, n, "") for n in sizes])
+    return let(chars, lambda c: F.concat(*[_shifted(c, n, "") for n in sizes]))
 
 
 def _shifted(items: Column, n: int, glue: str) -> Column:
@@ -44,8 +45,7 @@ def tokens(text: Column) -> Column:
 
 def word_ngrams(text: Column, most: int = 2) -> Column:
     """Word n-grams of 1 to ``most`` words, after stop words are removed."""
-    w = tokens(text)
-    return F.concat(*[_shifted(w, n, " ") for n in range(1, most + 1)])
+    return let(tokens(text), lambda w: F.concat(*[_shifted(w, n, " ") for n in range(1, most + 1)]))
 
 
 def term_counts(docs: DataFrame, keys: Sequence[str], grams: Column) -> DataFrame:
