@@ -163,9 +163,10 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
         shingles = Shingler(k)
         with np.errstate(over="ignore"):
             for df in batches:
-                yield pd.DataFrame({"space": df["space"], "id": df["id"], "shingles": [shingles(t).view("int64") for t in df["text"]]})
+                sets = [shingles(t) for t in df["text"]]
+                yield pd.DataFrame({"space": df["space"], "id": df["id"], "fp1": np.array([s.sum() for s in sets], "uint64").view("int64"), "shingles": [s.view("int64") for s in sets]})
 
-    return docs.select("space", "id", "text").mapInPandas(run, "space int, id long, shingles array<long>")
+    return docs.select("space", "id", "text").mapInPandas(run, "space int, id long, fp1 long, shingles array<long>")
 
 
 def similar_sets(docs: DataFrame, k: int = 5, similarity: float = 0.8, recall: float = 0.995) -> tuple[DataFrame, DataFrame]:
@@ -186,10 +187,11 @@ def similar_sets(docs: DataFrame, k: int = 5, similarity: float = 0.8, recall: f
     distinct_sets = materialize(sigs.join(heads, ["space", "id", "fp1", "fp2", "n"], "left_semi").dropDuplicates(["space", "id"]), "sets")
     maybe = materialize(candidates(distinct_sets, similarity, recall), "candidates")
     wanted = maybe.select("space", F.col("id_a").alias("id")).unionByName(maybe.select("space", F.col("id_b").alias("id"))).distinct()
+    wanted = wanted.join(heads.select("space", "id", "fp1"), ["space", "id"])  # of unequal texts under one id, the one that was compared
     wanted = materialize(wanted, "wanted")
     if wanted.count() <= BROADCAST_IDS:  # then the texts need not be shuffled
         wanted = F.broadcast(wanted)
-    sets = _sets(docs.join(wanted, ["space", "id"], "left_semi"), k).dropDuplicates(["space", "id"])
+    sets = _sets(docs.join(wanted, ["space", "id"], "left_semi"), k).join(wanted, ["space", "id", "fp1"], "left_semi").dropDuplicates(["space", "id"])
     a = sets.select("space", F.col("id").alias("id_a"), F.col("shingles").alias("sa"))
     b = sets.select("space", F.col("id").alias("id_b"), F.col("shingles").alias("sb"))
     both = maybe.join(a, ["space", "id_a"]).join(b, ["space", "id_b"]).withColumn("common", F.size(F.array_intersect("sa", "sb")))
