@@ -30,7 +30,8 @@ def _union_sql(rows: str, tolerance: int = 0) -> str:
 
 
 def rows(t: Tables) -> DataFrame:
-    return E.period_rows(t.cv, "cv_id", T.work_periods(T.experience_section(F.col("text"))))
+    sections = t.cv.select("cv_id", T.experience_section(F.col("text")).alias("section"))
+    return E.period_rows(sections, "cv_id", T.work_periods(F.col("section")))
 
 
 @query(f"SELECT * FROM {_union_sql(_ROWS)}")

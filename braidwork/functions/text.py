@@ -84,7 +84,7 @@ def periods(text: Column, as_of: int = 2026) -> Column:
     def pairs(p: str) -> Column:
         return F.transform(
             F.arrays_zip(F.regexp_extract_all(low, F.lit(p), F.lit(1)).alias("a"), F.regexp_extract_all(low, F.lit(p), F.lit(2)).alias("b")),
-            lambda z: F.struct(z["a"].cast("int").alias("start"), F.when(z["b"].isin("now", "present"), F.lit(as_of)).otherwise(z["b"].try_cast("int")).alias("end")),
+            lambda z: F.struct(z["a"].cast("int").alias("start"), F.when(z["b"].rlike(r"^\d+$"), z["b"].cast("int")).otherwise(F.lit(as_of)).alias("end")),
         )
 
     return F.concat(pairs(X.PERIOD_DASH), pairs(X.PERIOD_TO))
@@ -128,7 +128,7 @@ def work_periods(section: Column, as_of: int = 2026) -> Column:
     parts = []
     for p, a, b in X.WORK_PERIODS:
         starts, ends = F.regexp_extract_all(section, F.lit(p), F.lit(a)), F.regexp_extract_all(section, F.lit(p), F.lit(b))
-        parts.append(F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda z: F.struct(z["a"].cast("int").alias("start"), F.coalesce(z["b"].try_cast("int"), F.lit(as_of)).alias("end"))))
+        parts.append(F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda z: F.struct(z["a"].cast("int").alias("start"), F.when(z["b"].rlike(r"^\d+$"), z["b"].cast("int")).otherwise(F.lit(as_of)).alias("end"))))
     return F.array_distinct(F.concat(*parts))
 
 

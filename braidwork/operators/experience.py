@@ -39,7 +39,7 @@ def context_periods(text: Column, as_of: int = 2026, reach: int = 50) -> Column:
     parts = [F.regexp_extract_all(text, F.lit(p), F.lit(i)) for i in (1, 2, 3, 4)]
     z = F.arrays_zip(*[x.alias(n) for x, n in zip(parts, "abcd")])
     own = F.filter(z, lambda r: ~F.lower(F.concat(r["a"], r["d"])).rlike("education|university"))
-    return F.transform(own, lambda r: F.struct(r["b"].cast("int").alias("start"), F.coalesce(r["c"].try_cast("int"), F.lit(as_of)).alias("end")))
+    return F.transform(own, lambda r: F.struct(r["b"].cast("int").alias("start"), F.when(r["c"].rlike(r"^\d+$"), r["c"].cast("int")).otherwise(F.lit(as_of)).alias("end")))
 
 
 def mention_periods(docs: DataFrame, key: str, text: str, pattern: str, as_of: int = 2026) -> DataFrame:
@@ -50,8 +50,8 @@ def mention_periods(docs: DataFrame, key: str, text: str, pattern: str, as_of: i
     d = docs.select(key, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern).alias("gap"))
     rows = d.select(key, "gap", F.posexplode("m").alias("i", "mention"))
     w = Window.partitionBy(key).orderBy("i")
-    year = F.regexp_extract("mention", r"(\d{4})", 1).try_cast("int")
-    rows = rows.withColumn("year", F.coalesce(year, F.lit(as_of))).withColumn("closed", year.isNotNull())
+    closed = F.col("mention").rlike(r"\d{4}")
+    rows = rows.withColumn("closed", closed).withColumn("year", F.when(closed, F.regexp_extract("mention", r"(\d{4})", 1).cast("int")).otherwise(F.lit(as_of)))
     rows = rows.withColumn("next", F.lead("year").over(w)).withColumn("between", T.strip(F.get("gap", F.col("i") + 1)))
     return rows.where(F.col("closed") & F.col("between").isin("-", "–", "—", "to") & (F.col("year") < F.col("next"))).select(key, F.col("year").alias("start"), F.col("next").alias("end")).distinct()
 

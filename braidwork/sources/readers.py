@@ -85,6 +85,6 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_rankings(spark: SparkSession, pattern: str) -> DataFrame:
     """``method, cv_id, rankings`` of ``rankings_<method>_<time>.csv`` results; lists are parsed as JSON, never evaluated."""
-    raw = spark.read.option("header", True).schema("cv_id int, rankings string").option("enforceSchema", False).csv(pattern)
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"rankings_([A-Za-z_]+?)(?:_\d[^/]*)?(?:\.csv)?(?:/[^/]*)?$", 1)
+    raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(pattern).select(F.col("cv_id").cast("int").alias("cv_id"), "rankings", F.col("_metadata.file_path").alias("__path"))
+    name = F.regexp_extract("__path", r"rankings_([A-Za-z0-9_]+?)(?:_\d{8}_\d{6})?\.csv", 1)
     return raw.select(name.alias("method"), "cv_id", F.from_json("rankings", "array<int>").alias("rankings"))
