@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,24 +70,30 @@ def signatures(docs: DataFrame, k: int, seed: int = 7) -> DataFrame:
     a = (rng.integers(0, 1 << 32, COORDS + SKETCH, dtype="uint32") | np.uint32(1))[:, None]
     b = rng.integers(0, 1 << 32, COORDS + SKETCH, dtype="uint32")[:, None]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(k)
         with np.errstate(over="ignore"):
-            for df in batches:
-                out: list[tuple] = []
-                for space, i, text in zip(df["space"].tolist(), df["id"].tolist(), df["text"].tolist()):
+            for batch in batches:
+                kept, sizes, prints, lows = [], [], [], []
+                for i, text in enumerate(batch.column(2).to_pylist()):
                     s = shingles(text) if text else ()
-                    if len(s) == 0:
-                        continue
-                    m = a * (s >> np.uint64(32)).astype("uint32")
-                    m += b
-                    low = _mix(m.min(axis=1).astype("uint64") << np.uint64(20))
-                    bits = np.packbits((low[COORDS:] & np.uint64(1)).astype("uint8")).view("int64")
-                    fp = s.sum(), np.bitwise_xor.reduce(_mix(s + np.uint64(seed)))
-                    out.append((space, i, len(s), *np.array(fp, "uint64").view("int64").tolist(), low[:COORDS].astype("uint32").view("int32"), *bits.tolist()))
-                yield pd.DataFrame(out, columns=["space", "id", "n", "fp1", "fp2", "coords", "s0", "s1", "s2", "s3"])
-
-    return docs.select("space", "id", "text").mapInPandas(run, "space int, id long, n int, fp1 long, fp2 long, coords array<int>, s0 long, s1 long, s2 long, s3 long")
+                    if len(s):
+                        m = a * (s >> np.uint64(32)).astype("uint32")
+                        m += b
+                        kept.append(i)
+                        sizes.append(len(s))
+                        prints.append((s.sum(), np.bitwise_xor.reduce(_mix(s + np.uint64(seed)))))
+                        lows.append(m.min(axis=1))
+                n = len(kept)
+                low = _mix(np.array(lows, "uint64").reshape(n, COORDS + SKETCH) << np.uint64(20))
+                bits = np.packbits((low[:, COORDS:] & np.uint64(1)).astype("uint8"), axis=1).view("int64").reshape(n, SKETCH // 64)
+                fp = np.array(prints, "uint64").reshape(n, 2).view("int64")
+                coords = pa.ListArray.from_arrays(np.arange(0, n * COORDS + 1, COORDS, dtype="int32"), low[:, :COORDS].astype("uint32").view("int32").ravel())
+                own = batch.take(pa.array(kept, "int64"))
+                columns = [own.column(0), own.column(1), pa.array(sizes, "int32"), *(pa.array(np.ascontiguousarray(fp[:, j])) for j in range(2)), coords, *(pa.array(np.ascontiguousarray(bits[:, j])) for j in range(SKETCH // 64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["space", "id", "n", "fp1", "fp2", "coords", "s0", "s1", "s2", "s3"])
+
+    return docs.select("space", "id", "text").mapInArrow(run, "space int, id long, n int, fp1 long, fp2 long, coords array<int>, s0 long, s1 long, s2 long, s3 long")
 
 
 def runs_needed(similarity: float, recall: float, branches: int, depth: int) -> int:
@@ -120,7 +127,7 @@ def _pairs(left: DataFrame, on: list[str], similarity: float, extra: Column | No
         cond = cond & (F.col(f"a.{c}") == F.col(f"b.{c}"))
     if extra is not None:
         cond = cond & extra
-    return a.join(b, cond).select(F.col("a.space"), F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
+    return a.join(b.hint("shuffle_hash"), cond).select(F.col("a.space"), F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
 
 
 def candidates(sigs: DataFrame, similarity: float, recall: float = 0.995, limit: int = 128, branches: int = 3, depth: int = 6) -> DataFrame:
@@ -141,7 +148,7 @@ def candidates(sigs: DataFrame, similarity: float, recall: float = 0.995, limit:
         state = state.repartition("path")
         sizes = state.groupBy("path").agg(F.count("*").alias("size")).where(F.col("size") > 1)
         state = materialize(state.join(sizes.hint("shuffle_hash"), "path"), "buckets")
-        small = state.where(F.col("size") <= limit).join(sketched, ["space", "id"])
+        small = state.where(F.col("size") <= limit).join(sketched.hint("shuffle_hash"), ["space", "id"])
         got = _pairs(small, ["path"], similarity)
         found = got if found is None else found.unionByName(got)
         large = state.where(F.col("size") > limit)
