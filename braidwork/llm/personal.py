@@ -30,8 +30,8 @@ WORD = r"[^\W\d_][\w’'-]*"
 #: Street words by language: where a street's address starts and how house, flat and floor follow. Fixed values.
 ADDRESS = re.compile(
     (
-    rf"(?:Flat \d+\w?, )?\b\d+[a-z]? (?:[NSEW]\. )?{WORD}(?: {WORD})? (?:Street|Road|Lane|Avenue|Boulevard|Mews|Drive|Court|Square|Terrace|Close|Way|Place|Crescent|Gardens|(?:Ave|Blvd|St|Rd|Dr|Ln)\b\.?)(?:, (?:Apt|Flat|Unit|Suite|Floor) ?\d*\w?)?"
-    rf"|\b\d+(?: (?:bis|ter|quater))?,? (?:rue|avenue|allée|boulevard|impasse|place|chemin|quai|cours|route)(?: (?:de la|de l’|des|de|du))? (?:d’|l’)?{WORD}(?:, (?:apt\.?|appartement|étage) ?\w+)?"
+    rf"\b\d+(?: (?:bis|ter|quater))?,? (?:rue|avenue|allée|boulevard|impasse|place|chemin|quai|cours|route)(?: (?:de la|de l’|des|de|du))? (?:d’|l’)?{WORD}(?:, (?:apt\.?|appartement|étage) ?\w+)?"
+    rf"|(?:Flat \d+\w?, )?\b\d+[a-z]? (?:[NSEW]\. )?{WORD}(?: {WORD})? (?:Street|Road|Lane|Avenue|Boulevard|Mews|Drive|Court|Square|Terrace|Close|Way|Place|Crescent|Gardens|(?:Ave|Blvd|St|Rd|Dr|Ln)\b\.?)(?:, (?:Apt|Flat|Unit|Suite|Floor) ?\d*\w?)?"
     rf"|(?:\b(?:Calle|Avenida|Avda\.|Plaza|Paseo|Camino|Ronda)|\bC/)(?: (?:de la|de los|de las|del|de))? {WORD},? (?:n\.?º ?)?\d+[a-z]?(?:, \d+\.?[ºª°](?: [a-z]\b)?)?"
     rf"|\b(?:Rua|Avenida|Travessa|Praça|Largo|Alameda|Estrada)(?: (?:dos|das|de|da|do))? {WORD},? (?:n\.?º ?)?\d+[a-z]?(?:, \d+\.?[ºª°](?: (?:dto|esq|[a-z])\b\.?)?)?"
     rf"|\b(?:(?:Am|An der|Auf dem|Im|In der|Zum|Zur) )?[^\W\d_][\w-]*(?:straße|strasse|str\.|weg|platz|allee|gasse|ring|damm|ufer|hof|steig|chaussee) \d+(?: ?[a-z]\b)?"
