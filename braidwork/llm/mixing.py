@@ -56,7 +56,7 @@ def mix(documents: DataFrame, targets: DataFrame, doc_id: str = "doc_id", source
     for g in live:
         tokens = have[g["source"]]["tokens"]
         need = min(total * g["target_share"] / whole, float(tokens * g["max_repeats"]))
-        line = sorted(knots[g["source"]])
+        line = sorted((float(t), float(w)) for t, w in knots[g["source"]])
         areas = [(b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(line, line[1:])]
         area, done = sum(areas), 0.0
         for (t0, w0), (t1, w1), part in zip(line, line[1:], areas):
