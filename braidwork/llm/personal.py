@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from braidwork.session import materialize
 
 EMAIL = re.compile(
-    r"[\w.+-]*\w(?:@| ?\[at\] ?| ?\(at\) ?| @ )[\w-]+(?:(?:\.| ?\[dot\] ?| ?\(dot\) ?| dot )[\w-]+)*(?:\.| ?\[dot\] ?| ?\(dot\) ?| dot )[^\W\d_]{2,}"
-    r"|[\w.+-]*\w at [\w-]+(?: dot [\w-]+)* dot [^\W\d_]{2,}",
+    r"(?<![\w.+-])(?:[\w.+-]*\w(?:@| ?\[at\] ?| ?\(at\) ?| @ )[\w-]+(?:(?:\.| ?\[dot\] ?| ?\(dot\) ?| dot )[\w-]+)*(?:\.| ?\[dot\] ?| ?\(dot\) ?| dot )[^\W\d_]{2,}"
+    r"|[\w.+-]*\w at [\w-]+(?: dot [\w-]+)* dot [^\W\d_]{2,})",
     re.I,
 )
 #: Hyphens and spaces in all widths.
