@@ -115,7 +115,7 @@ AFTER = re.compile(
     r"\s*(?:\*+|[!?.;:,]+|\((?:advanced|basic|intermediate|expert|beginner|proficient|remote|hybrid|on[- ]?site|m/f/d|f/m/d|m/w/d|m/f/x|all genders|contract|full[- ]time|part[- ]time|permanent|temporary|urgent!?|\d+\s*[-–+]?\s*\d*\s*(?:years?|yrs?)[^)]*|[ivx]{1,4})\)"
     r"|[,|/–—-]?\s*\b(?:\d+\+?\s*(?:years?|yrs?)(?:\s+(?:of\s+)?experience)?|full[- ]time|part[- ]time|permanent|temporary|contract|freelance|remote|hybrid|on[- ]?site|urgent|ii|iii|iv|level \d|advanced|expert|intermediate|beginner))\s*[!.]*$"
 )
-PLACE = re.compile(r"\s*(?:\s[-–—/|@]|,)\s+[^\W\d_][\w'. -]*$")
+PLACE = re.compile(r"\s*(?:\s[-–—/|@]|,)\s+[^\W\d_][\w'.-]*(?:\s[\w'.]+)*$")
 VERSION = re.compile(r"[\s-]*v?\d+(?:\.\d+)*[a-z]?\+?$")
 
 

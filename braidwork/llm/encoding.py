@@ -153,6 +153,8 @@ def _byte_spans(text: str) -> list[tuple[int, int, str]]:
     tokens = [(m.start(), m.end(), m.group()) for m in TOKEN.finditer(text)]
     best: tuple[float, tuple[str, str] | None] = (0.0, None)
     odd = {t: oddity(t) for t in {x[2] for x in tokens}}
+    if not any(odd.values()) and not any(len(t) > 2 and not t[1:].islower() and all(c.lower() in CYRILLIC for c in t) for t in odd):
+        return []  # ordinary words only
     for pair, m in images().items():
         gain = 0.0
         letters_g = letters_r = ""

@@ -44,7 +44,7 @@ def test_skills(skills, value, entry):
     assert skills.resolve(value) == entry
 
 
-@pytest.mark.parametrize("value, entry", [("Sr. Data Enginere (m/f/d)", 7), ("JUNIOR ARCHITECT, SOFTWARE, FULL TIME", 8), ("Bus. Analyst - Lorilford", 9), ("analyst (business) (remote)", 9), ("Landscape Architect", 0), ("Software", 0)])
+@pytest.mark.parametrize("value, entry", [("Sr. Data Enginere (m/f/d)", 7), ("JUNIOR ARCHITECT, SOFTWARE, FULL TIME", 8), ("Bus. Analyst - Lorilford", 9), ("analyst (business) (remote)", 9), ("Architect, Software - Fliarville", 8), ("Data Engineer, New Town", 7), ("Landscape Architect", 0), ("Software", 0)])
 def test_titles(value, entry):
     assert C.Resolver(TITLES, C.KNOWN_NAMES["title"]).resolve(value) == entry
 
