@@ -281,9 +281,9 @@ def q_histogram(t: Tables) -> DataFrame:
     return agreement(t).groupBy(b.alias("bin")).agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT cv_id, vacancy_id, rank_no, round(rank() OVER w + (count(*) OVER (PARTITION BY cv_id, rank_no) - 1) / 2.0, 4) AS average_rank FROM (SELECT DISTINCT cv_id, vacancy_id, rank_no FROM {VOTES} WHERE annotator <= 2) WINDOW w AS (PARTITION BY cv_id ORDER BY rank_no)")
+@query(f"SELECT cv_id, vacancy_id, rank_no, round(rank() OVER w + (count(*) OVER (PARTITION BY cv_id, rank_no) - 1) / 2.0, 4) AS average_rank FROM (SELECT DISTINCT cv_id, vacancy_id, rank_no FROM {VOTES}) WINDOW w AS (PARTITION BY cv_id ORDER BY rank_no)")
 def q_avg_rank(t: Tables) -> DataFrame:
-    d = votes(t).where("annotator <= 2").select("cv_id", "vacancy_id", "rank_no").distinct()
+    d = votes(t).select("cv_id", "vacancy_id", "rank_no").distinct()
     r = F.rank().over(Window.partitionBy("cv_id").orderBy("rank_no")) + (F.count("*").over(Window.partitionBy("cv_id", "rank_no")) - 1) / 2.0
     return d.select("cv_id", "vacancy_id", "rank_no", F.round(r, 4).alias("average_rank"))
 
