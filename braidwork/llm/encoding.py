@@ -29,6 +29,8 @@ ORDINARY = set("ёЁ\xa0“”‘’„…–—•«»№≈°±§®©µ·")
 RUSSIAN = dict(zip("оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё", (10.97, 8.45, 8.01, 7.35, 6.70, 6.26, 5.47, 4.73, 4.54, 4.40, 3.49, 3.21, 2.98, 2.81, 2.62, 2.01, 1.90, 1.74, 1.70, 1.65, 1.59, 1.44, 1.21, 0.97, 0.94, 0.73, 0.64, 0.48, 0.36, 0.32, 0.26, 0.04, 0.04)))
 TOKEN = re.compile(r"[^\x00-\x26\x28-\x40\x5b-\x60\x7b-\x7f]*[^\x00-\x7f][^\x00-\x26\x28-\x40\x5b-\x60\x7b-\x7f]*")
 LOST = "�"
+#: Boxes, blocks and signs that text of this kind never has: proof even in the shortest token.
+FOREIGN = {chr(c) for c in range(0x2500, 0x25A0)} | set("∞∩∏∫∂◊∑≡⌠⌡⌐ⁿ∙√")
 
 
 def read_byte(b: int, encoding: str) -> str:
@@ -115,7 +117,7 @@ def _russian(word: str) -> float:
 
 
 def _well_cased(word: str) -> bool:
-    return word.islower() or word.isupper() or word[:1].isupper() and word[1:].islower()
+    return not word or word.islower() or word.isupper() or word[:1].isupper() and word[1:].islower()
 
 
 def _utf8_spans(text: str) -> list[tuple[int, int, str]]:
@@ -159,7 +161,8 @@ def _byte_spans(text: str) -> list[tuple[int, int, str]]:
         gain = 0.0
         letters_g = letters_r = ""
         for t, o in odd.items():
-            if len(t) < 3 or any(ord(c) > 0x7F and c not in m for c in t) or not any(c.isalpha() for c in t):
+            short = len(t) < 3 or not any(c.isalpha() for c in t)
+            if short and FOREIGN.isdisjoint(t) or any(ord(c) > 0x7F and c not in m for c in t):
                 continue
             r = "".join(m.get(c, c) for c in t)
             if pair[0] != "cp1252" and pair[1] in ("cp1251", "cp866", "koi8-r") and all(c.lower() in CYRILLIC for c in t + r):

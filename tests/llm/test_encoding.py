@@ -45,6 +45,11 @@ def test_only_damaged_spans_change():
     assert X.repair(text) == (True, f"{GERMAN}\npréféré\n{RUSSIAN}")
 
 
+@pytest.mark.parametrize("bad, good", [("at 5 ╡s", "at 5 µs"), ("20 ░C", "20 °C"), ("▒╜ day", "±½ day")])
+def test_short_tokens(bad, good):
+    assert X.repair(bad) == (True, good)
+
+
 def test_lost_characters_are_reported():
     assert X.repair("a � b") == (True, "a � b")
 
