@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from braidwork.catalog.base import CV, Tables, lit, query, words_sql
+from braidwork.catalog.base import CV, Tables, lit, query
 from braidwork.catalog.matches import _weights_sql, weights
 from braidwork.catalog.ranks import PAIRS, TRUTH, pairs, votes
 from braidwork.catalog.texts import _SECTION, _explicit_sql
@@ -83,10 +83,13 @@ def q_experience_choice(t: Tables) -> DataFrame:
     return d.select("cv_id", years.alias("years"), method.alias("method"))
 
 
-@query(f"SELECT cv_id, w[i] AS word, CAST(count(*) AS BIGINT) AS n FROM (SELECT cv_id, w, unnest(range(1, len(w))) AS i FROM (SELECT cv_id, {words_sql('lower(text)')} AS w FROM {CV})) WHERE w[i] = w[i + 1] AND length(w[i]) > 1 GROUP BY ALL")
+_W = r"([\p{L}\p{N}_+#.-]+)"
+
+
+@query(f"SELECT cv_id, w[i] AS word, CAST(count(*) AS BIGINT) AS n FROM (SELECT cv_id, w, unnest(range(1, len(w))) AS i FROM (SELECT cv_id, regexp_extract_all(lower(text), {lit(_W)}, 1) AS w FROM {CV})) WHERE w[i] = w[i + 1] AND length(w[i]) > 1 GROUP BY ALL")
 def q_adjacent(t: Tables) -> DataFrame:
     """Words that follow themselves, by ``lead`` over the document's words."""
-    w = t.cv.select("cv_id", F.posexplode(T.words(F.lower("text"))).alias("i", "word"))
+    w = t.cv.select("cv_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(_W), F.lit(1))).alias("i", "word"))
     d = w.withColumn("next", F.lead("word").over(Window.partitionBy("cv_id").orderBy("i")))
     return d.where((F.col("word") == F.col("next")) & (F.length("word") > 1)).groupBy("cv_id", "word").agg(F.count("*").alias("n"))
 

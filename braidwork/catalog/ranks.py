@@ -234,18 +234,21 @@ def q_metric_sort(t: Tables) -> DataFrame:
     return M.evaluate(lists(t), ["annotator"]).select("annotator", F.round("alpha", 4).alias("alpha"), "n").orderBy(F.desc("alpha"), "annotator").limit(10)
 
 
-_TRANSPOSED = f"(SELECT annotator, vacancy_id, avg((p - t) * (p - t)) AS gap, count(*) AS n FROM {BOTH} GROUP BY ALL)"
+def _index_alpha_sql(key: str) -> str:
+    """Mean alpha of an annotator's lists by ``key``, on the values' indexes among the distinct values of a list."""
+    return f"""(SELECT annotator, avg(alpha) AS alpha FROM (SELECT annotator, {key}, CASE WHEN var_pop(i) = 0 THEN 1.0 ELSE 1 - sum(CASE WHEN side = 1 THEN gap END) / count(*) FILTER (side = 1) / (4 * var_pop(i)) END AS alpha
+FROM (SELECT *, i - lead(i) OVER (PARTITION BY annotator, cv_id, vacancy_id ORDER BY side) AS d, pow(i - lead(i) OVER (PARTITION BY annotator, cv_id, vacancy_id ORDER BY side), 2) AS gap FROM
+(SELECT annotator, cv_id, vacancy_id, side, dense_rank() OVER (PARTITION BY annotator, {key} ORDER BY v) AS i FROM (SELECT annotator, cv_id, vacancy_id, 1 AS side, p AS v FROM {BOTH} UNION ALL SELECT annotator, cv_id, vacancy_id, 2, t FROM {BOTH}))) GROUP BY annotator, {key}) GROUP BY annotator)"""
 
 
-@query(f"""SELECT annotator, round(c.gap, 4) AS cv_gap, round(v.gap, 4) AS vacancy_gap, round((c.gap + v.gap) / 2, 4) AS combined FROM (SELECT annotator, avg(gap) AS gap FROM (SELECT annotator, cv_id, avg((p - t) * (p - t)) AS gap FROM {BOTH} GROUP BY ALL) GROUP BY annotator) c
-JOIN (SELECT annotator, avg(gap) AS gap FROM {_TRANSPOSED} GROUP BY annotator) v USING (annotator)""")
+@query(f"SELECT annotator, round(c.alpha, 4) AS cv_alpha, round(v.alpha, 4) AS vacancy_alpha, round((c.alpha + v.alpha) / 2, 4) AS combined_alpha FROM {_index_alpha_sql('cv_id')} c JOIN {_index_alpha_sql('vacancy_id')} v USING (annotator)")
 def q_eval_bidirectional(t: Tables) -> DataFrame:
-    """Mean squared rank gap over CVs' lists, over vacancies' lists (the transposed ranks), and their mean."""
+    """Alpha over CVs' lists, over vacancies' lists (the transposed ranks, whose values repeat), and their mean."""
     v = votes(t)
-    both = v.join(B.consensus(v), ["cv_id", "vacancy_id"]).withColumn("gap", F.pow(F.col("rank_no") - F.col("rank"), F.lit(2)))
-    by = lambda key, name: both.groupBy("annotator", key).agg(F.avg("gap").alias("g")).groupBy("annotator").agg(F.avg("g").alias(name))
-    d = by("cv_id", "c").join(by("vacancy_id", "v"), "annotator")
-    return d.select("annotator", F.round("c", 4).alias("cv_gap"), F.round("v", 4).alias("vacancy_gap"), F.round((F.col("c") + F.col("v")) / 2, 4).alias("combined"))
+    truth = B.consensus(v)
+    by = lambda key, item, name: M.evaluate(M.aligned(v, truth.select("cv_id", "vacancy_id", "rank"), ["annotator", key], item, "rank_no", "rank"), ["annotator"]).select("annotator", F.col("alpha").alias(name))
+    d = by("cv_id", "vacancy_id", "c").join(by("vacancy_id", "cv_id", "v"), "annotator")
+    return d.select("annotator", F.round("c", 4).alias("cv_alpha"), F.round("v", 4).alias("vacancy_alpha"), F.round((F.col("c") + F.col("v")) / 2, 4).alias("combined_alpha"))
 
 
 @query(f"SELECT annotator, cv_id, string_agg(p, ',' ORDER BY vacancy_id) AS predicted, min_by(vacancy_id, p) AS top, bool_or(p = 1 AND t = 1) AS correct, round({_RHO}, 4) AS rho FROM {BOTH} GROUP BY annotator, cv_id")

@@ -336,3 +336,13 @@ def q_kw_summary(t: Tables) -> DataFrame:
 
     top = top_keywords(t.cv, "cv_id", "text", 10).groupBy("cv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "keyword"))), lambda x: x["keyword"]), " ").alias("kw"))
     return t.cv.join(top, "cv_id", "left").select("cv_id", F.concat_ws(" ", T.raw_summary(F.col("text")), F.coalesce("kw", F.lit(""))).alias("prepared"))
+
+
+_ENTITIES = f"list_filter(list_slice(regexp_extract_all(text, {lit(X.ENTITY)}, 1), 1, 20), lambda e: length(e) > 2 AND lower(e) NOT IN ({', '.join(lit(s) for s in X.KEYWORD_STOP_WORDS)}))"
+
+
+@query(f"SELECT cv_id, {_RAW} || ' ' || array_to_string(list_slice({_ENTITIES}, 1, 10), ' ') AS prepared FROM {CV}")
+def q_ne_summary(t: Tables) -> DataFrame:
+    """The summary with the first ten named entities after it."""
+    e = F.filter(F.slice(F.regexp_extract_all("text", F.lit(X.ENTITY), F.lit(1)), 1, 20), lambda x: (F.length(x) > 2) & ~F.lower(x).isin(*X.KEYWORD_STOP_WORDS))
+    return t.cv.select("cv_id", F.concat_ws(" ", T.raw_summary(F.col("text")), F.array_join(F.slice(e, 1, 10), " ")).alias("prepared"))
