@@ -139,25 +139,28 @@ def candidates(sigs: DataFrame, similarity: float, recall: float = 0.995, limit:
     pair at the threshold to meet with probability ``recall``. Buckets that are too large at ``depth`` are compared in
     blocks, so that no pair is given up.
     """
-    light = sigs.select("space", "id", "coords")
+    sketch = ["n", "s0", "s1", "s2", "s3"]
     roots = _root_coordinates(runs_needed(similarity, recall, branches, depth))
-    state = light.select("space", "id", F.explode(F.array(*[F.xxhash64("space", F.lit(i), F.col("coords")[c], F.col("coords")[d]) for i, (c, d) in enumerate(roots)])).alias("path"))
-    sketched = sigs.select("space", "id", "n", "s0", "s1", "s2", "s3")
+    state = sigs.select("space", "id", *sketch, F.explode(F.array(*[F.xxhash64("space", F.lit(i), F.col("coords")[c], F.col("coords")[d]) for i, (c, d) in enumerate(roots)])).alias("path"))
     found = None
     for level in range(ROOT, depth + 1):
+        # one shuffle by path serves the counts, the comparison of small buckets and the list of large ones
         state = state.repartition("path")
         sizes = state.groupBy("path").agg(F.count("*").alias("size")).where(F.col("size") > 1)
-        state = materialize(state.join(sizes.hint("shuffle_hash"), "path"), "buckets")
-        small = state.where(F.col("size") <= limit).join(sketched.hint("shuffle_hash"), ["space", "id"])
-        got = _pairs(small, ["path"], similarity)
-        found = got if found is None else found.unionByName(got)
-        large = state.where(F.col("size") > limit)
+        sized = state.join(sizes.hint("shuffle_hash"), "path")
+        got = _pairs(sized.where(F.col("size") <= limit), ["path"], similarity).withColumns({"path": F.lit(None).cast("bigint"), "size": F.lit(None).cast("bigint")})
+        rest = sized.where(F.col("size") > limit).select("space", F.col("id").alias("id_a"), F.lit(None).cast("bigint").alias("id_b"), "path", "size")
+        both = materialize(got.unionByName(rest), "buckets")
+        pairs = both.where("path IS NULL").select("space", "id_a", "id_b")
+        found = pairs if found is None else found.unionByName(pairs)
+        large = both.where("path IS NOT NULL").select("space", F.col("id_a").alias("id"), "path", "size")
         if large.isEmpty():
             return found.distinct()
         if level < depth:
             chosen = [F.pmod(F.xxhash64("path", F.lit(j)), F.lit(COORDS)).cast("int") for j in range(branches)]
             children = F.array_distinct(F.array(*[F.xxhash64("path", c, F.get("coords", c)) for c in chosen]))
-            state = large.join(light, ["space", "id"]).select("space", "id", F.explode(children).alias("path"))
+            state = large.join(sigs.select("space", "id", "coords", *sketch), ["space", "id"]).select("space", "id", *sketch, F.explode(children).alias("path"))
+    sketched = sigs.select("space", "id", *sketch)
     blocks = F.ceil(F.col("size") / limit).cast("int")
     own = F.pmod(F.xxhash64("id", "path"), blocks).cast("int")
     spread = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other").distinct()
