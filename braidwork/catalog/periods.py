@@ -56,10 +56,16 @@ def q_total_experience(t: Tables) -> DataFrame:
 
 
 
-@query()
+_CP = lit(E.CONTEXT_PERIOD)
+_CONTEXT = f"""(SELECT DISTINCT cv_id, CAST(regexp_extract(x, {_CP}, 1) AS INTEGER) AS s, coalesce(TRY_CAST(regexp_extract(x, {_CP}, 2) AS INTEGER), 2026) AS e FROM
+(SELECT cv_id, x, lower(substr(text, greatest(0, at - 50) + 1, at - greatest(0, at - 50) + length(x) + 50)) AS around FROM
+(SELECT cv_id, text, m[i] AS x, length(array_to_string(list_slice(g, 1, i), '')) + length(array_to_string(list_slice(m, 1, i - 1), '')) AS at FROM
+(SELECT cv_id, text, m, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT cv_id, text, regexp_extract_all(text, {_CP}) AS m, regexp_split_to_array(text, {_CP}) AS g FROM {CV})))) WHERE NOT contains(around, 'education') AND NOT contains(around, 'university'))"""
+
+
+@query(f"SELECT * FROM {_union_sql(_CONTEXT)}")
 def q_context_periods(t: Tables) -> DataFrame:
-    """Needs the text after a match without taking it, which the SQL engine's patterns cannot."""
-    return E.union_years(E.period_rows(t.cv, "cv_id", E.context_periods(F.col("text"))), "cv_id")
+    return E.union_years(E.context_periods(t.cv, "cv_id", "text"), "cv_id")
 
 
 _MENTION = f"""(SELECT cv_id, i, g, CASE WHEN regexp_matches(m, '[0-9]') THEN CAST(regexp_extract(m, '([0-9]{{4}})', 1) AS INTEGER) ELSE 2026 END AS y, regexp_matches(m, '[0-9]') AS closed FROM

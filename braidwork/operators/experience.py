@@ -33,13 +33,25 @@ def union_years(rows: DataFrame, key: str, tolerance: int = 0) -> DataFrame:
     return per.groupBy(key).agg(F.count("*").alias("n_islands"), F.sum("y").cast("double").alias("years"))
 
 
-def context_periods(text: Column, as_of: int = 2026, reach: int = 50) -> Column:
-    """``YYYY - YYYY|now|present|current`` with neither education nor university within ``reach`` characters."""
-    p = r"(?is)(.{0,%d})(\d{4})\s*[-–—]\s*(\d{4}|now|present|current)(?=(.{0,%d}))" % (reach, reach)
-    parts = [F.regexp_extract_all(text, F.lit(p), F.lit(i)) for i in (1, 2, 3, 4)]
-    z = F.arrays_zip(*[x.alias(n) for x, n in zip(parts, "abcd")])
-    own = F.filter(z, lambda r: ~F.lower(F.concat(r["a"], r["d"])).rlike("education|university"))
-    return F.transform(own, lambda r: F.struct(r["b"].cast("int").alias("start"), F.when(r["c"].rlike(r"^\d+$"), r["c"].cast("int")).otherwise(F.lit(as_of)).alias("end")))
+#: A period of work in any text. A fixed value.
+CONTEXT_PERIOD = r"(?i)(\d{4})\s*[-–—]\s*(\d{4}|now|present|current)"
+
+
+def context_periods(docs: DataFrame, key: str, text: str, as_of: int = 2026, reach: int = 50) -> DataFrame:
+    """``key, start, end`` of ``YYYY - YYYY|now|present|current`` with neither education nor university within ``reach``
+    characters before or after.
+
+    The text's matches and what lies between them give each match's place.
+    """
+    d = docs.select(key, F.col(text).alias("__t"), F.regexp_extract_all(text, F.lit(CONTEXT_PERIOD), F.lit(0)).alias("__m"), F.split(text, CONTEXT_PERIOD).alias("__gap"))
+    d = d.select(key, "__t", "__m", "__gap", F.posexplode("__m").alias("__i", "__x"))
+    length = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
+    d = d.withColumn("__at", length(F.slice("__gap", 1, F.col("__i") + 1)) + length(F.slice("__m", 1, F.col("__i"))))
+    first = F.greatest(F.lit(0), F.col("__at") - reach)
+    around = F.lower(F.col("__t").substr(first + 1, F.col("__at") - first + F.length("__x") + reach))
+    end = F.regexp_extract("__x", CONTEXT_PERIOD, 2)
+    kept = d.where(~around.contains("education") & ~around.contains("university"))
+    return kept.select(key, F.regexp_extract("__x", CONTEXT_PERIOD, 1).cast("int").alias("start"), F.when(end.rlike(r"^\d+$"), end.cast("int")).otherwise(F.lit(as_of)).alias("end")).distinct()
 
 
 def mention_periods(docs: DataFrame, key: str, text: str, pattern: str, as_of: int = 2026) -> DataFrame:

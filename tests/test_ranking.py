@@ -75,3 +75,9 @@ def test_blocked_prefix_sum(spark, blocks):
         for r in sorted((r for r in rows if r.g == g), key=lambda r: (r.k, r.id)):
             assert r.before == run
             run += r.v
+
+
+def test_context_periods(spark):
+    t = "Work 2001-2003, 2004 - now. " + "x" * 60 + " University of Here 1990-1995 " + "y" * 60 + " 2010-2012"
+    rows = E.context_periods(spark.createDataFrame([(1, t)], "k int, t string"), "k", "t").collect()
+    assert sorted((r.start, r.end) for r in rows) == [(2001, 2003), (2004, 2026), (2010, 2012)]
