@@ -58,8 +58,8 @@ def q_total_experience(t: Tables) -> DataFrame:
 
 _CP = lit(E.CONTEXT_PERIOD)
 _CONTEXT = f"""(SELECT DISTINCT cv_id, CAST(regexp_extract(x, {_CP}, 1) AS INTEGER) AS s, coalesce(TRY_CAST(regexp_extract(x, {_CP}, 2) AS INTEGER), 2026) AS e FROM
-(SELECT cv_id, x, lower(substr(text, greatest(0, at - 50) + 1, at - greatest(0, at - 50) + length(x) + 50)) AS around FROM
-(SELECT cv_id, text, m[i] AS x, length(array_to_string(list_slice(g, 1, i), '')) + length(array_to_string(list_slice(m, 1, i - 1), '')) AS at FROM
+(SELECT cv_id, x, lower(substr(text, greatest(0, place - 50) + 1, place - greatest(0, place - 50) + length(x) + 50)) AS around FROM
+(SELECT cv_id, text, m[i] AS x, length(array_to_string(list_slice(g, 1, i), '')) + length(array_to_string(list_slice(m, 1, i - 1), '')) AS place FROM
 (SELECT cv_id, text, m, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT cv_id, text, regexp_extract_all(text, {_CP}) AS m, regexp_split_to_array(text, {_CP}) AS g FROM {CV})))) WHERE NOT contains(around, 'education') AND NOT contains(around, 'university'))"""
 
 
