@@ -39,6 +39,16 @@ ADDRESS = re.compile(
     ).replace(" ", r"(?:[ \xa0]+)"),
     re.I,
 )
+#: What a line with an address, and one with an e-mail address, must have.
+STREET = re.compile(
+    r"\b(?:street|road|lane|avenue|boulevard|mews|drive|court|square|terrace|close|way|place|crescent|gardens|ave|blvd|st|rd|dr|ln"
+    r"|rue|allée|impasse|chemin|quai|cours|route|calle|c/|avenida|avda|plaza|paseo|camino|ronda|rua|travessa|praça|largo|alameda|estrada"
+    r"|ул\.|улица|пр\.|пр-т|проспект|пер\.|переулок|наб\.|набережная|бульвар|шоссе|пл\.|площадь)(?:(?<=[./])|(?!\w))"
+    r"|(?:straße|strasse|str\.|weg|platz|allee|gasse|ring|damm|ufer|hof|steig|chaussee)[ \xa0]+\d",
+    re.I,
+)
+AT = re.compile(r"@|[\[(]at[\])]| dot ", re.I)
+DIGIT = re.compile(r"\d")
 TOKEN = re.compile(r"[^\W\d_]+(?:[-’'][^\W\d_]+)*\.?|\d+|\n|[^\w\s]")
 NAME_PART = r"(?:[^\W\d_]+(?:[-’'][^\W\d_]+)*|[^\W\d_]\.)"
 #: Titles are no part of a name. Fixed values.
@@ -107,8 +117,22 @@ def name_spans(text: str) -> Iterator[tuple[int, int, list[str]]]:
             yield spans[0][0], spans[-1][1], words
 
 
+def _in_lines(text: str, pattern: re.Pattern, *needs: re.Pattern) -> Iterator[tuple[int, int, str]]:
+    """Matches of a pattern that stays within a line, looked for only in lines that have what it needs."""
+    at = 0
+    for line in text.split("\n"):
+        if all(n.search(line) for n in needs):
+            for m in pattern.finditer(line):
+                yield at + m.start(), at + m.end(), m.group()
+        at += len(line) + 1
+
+
 def _emails(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in EMAIL.finditer(text)]
+    return [(a, b) for a, b, _ in _in_lines(text, EMAIL, AT)]
+
+
+def _addresses(text: str) -> list[tuple[int, int, str]]:
+    return list(_in_lines(text, ADDRESS, DIGIT, STREET))
 
 
 def candidates(text: str) -> list[tuple[str, str, str, list[str], list[str], str | None, list[str]]]:
@@ -128,8 +152,8 @@ def candidates(text: str) -> list[tuple[str, str, str, list[str], list[str], str
         parts = [fold(w) for w in words if not w.endswith(".")]
         seed = "person_name" if len(local) > 3 and any(len(p) > 3 and p in local for p in parts) else None
         out.append(("name", text[start:end], "", tokens_before(text, start), tokens_after(text, end), seed, parts))
-    for m in ADDRESS.finditer(text):
-        out.append(("address", m.group(), "", tokens_before(text, m.start()), tokens_after(text, m.end()), "street_address", []))
+    for start, end, v in _addresses(text):
+        out.append(("address", v, "", tokens_before(text, start), tokens_after(text, end), "street_address", []))
     return out
 
 
@@ -145,15 +169,14 @@ def _candidate_table(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInPandas(run, CANDIDATE)
 
 
-def _keys() -> list[tuple[str, object]]:
+def _keys() -> F.Column:
     """Pattern keys of a candidate: contexts on both sides, left contexts, shapes, left context with shape."""
     left1, left2 = F.element_at("before", -1), F.array_join("before", " ")
     right1, right2 = F.element_at("after", 1), F.array_join("after", " ")
-    return [
-        ("name", F.concat_ws("\t", F.lit("12"), left1, right2)), ("name", F.concat_ws("\t", F.lit("21"), left2, right1)),
-        ("number", F.concat_ws("\t", F.lit("L2"), left2)), ("number", F.concat_ws("\t", F.lit("S"), F.col("shape"))), ("number", F.concat_ws("\t", F.lit("LS"), left2, F.col("shape"))),
-        ("address", F.concat_ws("\t", F.lit("L2"), left2)),
-    ]
+    key = lambda *parts: F.concat_ws("\t", *[F.lit(p) if isinstance(p, str) else p for p in parts])
+    names = F.array(key("12", left1, right2), key("21", left2, right1))
+    numbers = F.array(key("L2", left2), key("S", F.col("shape")), key("LS", left2, F.col("shape")))
+    return F.when(F.col("kind") == "name", names).when(F.col("kind") == "number", numbers).otherwise(F.array(key("L2", left2)))
 
 
 @dataclass
@@ -180,10 +203,7 @@ def learn(docs: DataFrame, rounds: int = 3, support: int = 3, least: float = 0.5
         given = names.withColumn("other", F.explode("words")).where(F.col("other") != F.col("part")).groupBy("part").agg(F.count_distinct("other").alias("others")).where(F.col("others") >= support)
         by_part = table.where(F.col("kind") == "name").select("uid", F.explode("words").alias("part")).join(given, "part", "left_semi").select("uid").distinct().withColumn("given", F.lit(True))
         known = materialize(table.join(by_part, "uid", "left").withColumn("type", F.coalesce("seed", "type", F.when(F.col("given"), F.lit("person_name")))).drop("given"), "known")
-        keyed = None
-        for kind, key in _keys():
-            k = known.where(F.col("kind") == kind).select("uid", "kind", "value", "type", "n", key.alias("key")).where(F.col("key").isNotNull())
-            keyed = k if keyed is None else keyed.unionByName(k)
+        keyed = known.select("uid", "kind", "value", "type", "n", F.explode(_keys()).alias("key"))
         per = keyed.groupBy("kind", "key", "type").agg(F.sum("n").alias("n"), F.count_distinct("value").alias("values"))
         total = per.groupBy("kind", "key").agg((F.sum(F.when(F.col("type").isNotNull(), F.col("n")).otherwise(F.col("n") / 3))).alias("total"))
         scored = per.where(F.col("type").isNotNull() & (F.col("values") >= support)).join(total, ["kind", "key"]).withColumn("confidence", F.col("n") / F.col("total")).where(F.col("confidence") >= least)
@@ -219,8 +239,8 @@ class Extractor:
         """Spans ``(start, end, type)`` of personal data, in order, not overlapping."""
         found: list[tuple[int, int, str, float]] = [(a, b, "email", 3.0) for a, b in _emails(text)]
         mails = [(a, b) for a, b, _, _ in found]
-        for m in ADDRESS.finditer(text):
-            found.append((*m.span(), "street_address", 2.0))
+        for start, end, _ in _addresses(text):
+            found.append((start, end, "street_address", 2.0))
         for start, end, v in numbers(text, mails):
             b = tokens_before(text, start)
             left, s = " ".join(b), shape(v)
