@@ -75,7 +75,7 @@ def p6_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return consensus.truth_discovery(table(spark, sf_dir, "annotations"), weighting="equal")[2]
+    return consensus.truth_discovery(table(spark, sf_dir, "annotations"), weighting="equal")[2].withColumn("kendall_w", F.round("kendall_w", 6))
 
 
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,5 +141,5 @@ best AS (SELECT cv_id, vacancy_id, CAST(row_number() OVER (PARTITION BY cv_id OR
 SELECT cv_id, place, vacancy_id FROM best WHERE place <= 3""",
     "p6_found": _COUNTING + ", m AS (SELECT cv_id, vacancy_id, avg(rank_no) AS a FROM c GROUP BY ALL) SELECT cv_id, vacancy_id, CAST(row_number() OVER (PARTITION BY cv_id ORDER BY a, vacancy_id DESC) AS INTEGER) AS consensus_rank FROM m",
     "p6_agreement": _COUNTING + """, s AS (SELECT cv_id, vacancy_id, sum(rank_no) AS r, count(*) AS m FROM c GROUP BY ALL)
-SELECT cv_id, max(m) AS n_annotators, 12 * var_pop(r) * count(*) / (pow(max(m), 2) * (pow(count(*), 3) - count(*))) AS kendall_w FROM s GROUP BY cv_id""",
+SELECT cv_id, max(m) AS n_annotators, round(12 * var_pop(r) * count(*) / (pow(max(m), 2) * (pow(count(*), 3) - count(*))), 6) AS kendall_w FROM s GROUP BY cv_id""",
 }
