@@ -104,9 +104,9 @@ def q_top20pct(t: Tables) -> DataFrame:
     return d.where(F.col("rank") <= F.floor(0.2 * F.col("n"))).select("cv_id", "vacancy_id")
 
 
-@query(f"SELECT cv_id, avg(total_score) AS mean_score, count(*) AS n FROM {PAIRS} GROUP BY cv_id")
+@query(f"SELECT cv_id, round(avg(total_score), 6) AS mean_score, count(*) AS n FROM {PAIRS} GROUP BY cv_id")
 def q_mean_score(t: Tables) -> DataFrame:
-    return pairs(t).groupBy("cv_id").agg(F.avg("total_score").alias("mean_score"), F.count("*").alias("n"))
+    return pairs(t).groupBy("cv_id").agg(F.round(F.avg("total_score"), 6).alias("mean_score"), F.count("*").alias("n"))
 
 
 @query(f"SELECT annotator, cv_id, vacancy_id, round(avg(rank_no) OVER (PARTITION BY annotator, cv_id ORDER BY vacancy_id ROWS UNBOUNDED PRECEDING), 6) AS running_mean FROM {VOTES}")
@@ -316,8 +316,8 @@ def q_weight_grid(t: Tables) -> DataFrame:
 
 @query("SELECT count(DISTINCT cv_id) AS num_cvs, (SELECT count(DISTINCT vacancy_id) FROM vacancies) AS num_vacancies, min(cv_id) AS first_cv, max(cv_id) AS last_cv FROM cv_data")
 def q_metadata(t: Tables) -> DataFrame:
-    v = t.vacancies.agg(F.count_distinct("vacancy_id").alias("num_vacancies"))
-    return t.cv_data.agg(F.count_distinct("cv_id").alias("num_cvs"), F.min("cv_id").alias("first_cv"), F.max("cv_id").alias("last_cv")).join(F.broadcast(v)).select("num_cvs", "num_vacancies", "first_cv", "last_cv")
+    n = t.vacancies.agg(F.count_distinct("vacancy_id")).scalar()
+    return t.cv_data.agg(F.count_distinct("cv_id").alias("num_cvs"), F.min("cv_id").alias("first_cv"), F.max("cv_id").alias("last_cv")).select("num_cvs", n.alias("num_vacancies"), "first_cv", "last_cv")
 
 
 @query("SELECT round(avg(experience), 6) AS mean, median(experience) AS median, min(experience) AS lowest, max(experience) AS highest, round(stddev_pop(experience), 6) AS deviation, count(experience) AS n FROM (SELECT DISTINCT cv_id, experience FROM cv_data)")

@@ -56,10 +56,10 @@ def bm25(pairs: DataFrame, queries: DataFrame, corpus: DataFrame, k1: float = 1.
     """
     q = queries.select("cv_id", F.explode("tokens").alias("term")).groupBy("cv_id", "term").agg(F.count("*").alias("qtf"))
     d = corpus.select("vacancy_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("vacancy_id", "dl", "term").agg(F.count("*").alias("tf"))
-    size = corpus.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    idf = d.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(size)).select("term", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
-    mean = idf.agg(F.avg("idf").alias("mean"))
-    idf = idf.join(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("idf") < 0, eps * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
+    n, avgdl = corpus.agg(F.count("*").alias("n")).scalar(), corpus.agg(F.avg(F.size("tokens")).alias("avgdl")).scalar()
+    raw = d.groupBy("term").agg(F.count("*").alias("df")).select("term", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+    mean = raw.agg(F.avg("idf").alias("mean")).scalar()
+    idf = raw.select("term", F.when(F.col("idf") < 0, eps * mean).otherwise(F.col("idf")).alias("idf"), avgdl.alias("avgdl"))
     d = d.join(idf, "term").withColumn("w", F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).select("vacancy_id", "term", "w")
     s = pairs.join(q, "cv_id").join(d, ["vacancy_id", "term"]).groupBy("cv_id", "vacancy_id").agg(F.sum(F.col("qtf") * F.col("w")).alias("bm25"))
     return pairs.join(s, ["cv_id", "vacancy_id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))

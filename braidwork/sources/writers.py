@@ -47,8 +47,8 @@ def save_rankings(ranks: DataFrame, folder: str, method: str, stamp: str, **name
 def run_summary(cvs: DataFrame, vacancies: DataFrame, stamp: str) -> DataFrame:
     """One row: how many CVs and vacancies, their lowest and highest ids, and a stamp."""
     c = cvs.agg(F.count_distinct("cv_id").alias("num_cvs"), F.min("cv_id").alias("first_cv"), F.max("cv_id").alias("last_cv"))
-    v = vacancies.agg(F.count_distinct("vacancy_id").alias("num_vacancies"), F.min("vacancy_id").alias("first_vacancy"), F.max("vacancy_id").alias("last_vacancy"))
-    return c.join(F.broadcast(v)).withColumn("stamp", F.lit(stamp))
+    one = lambda aggregate, name: vacancies.agg(aggregate).scalar().alias(name)
+    return c.select("*", one(F.count_distinct("vacancy_id"), "num_vacancies"), one(F.min("vacancy_id"), "first_vacancy"), one(F.max("vacancy_id"), "last_vacancy"), F.lit(stamp).alias("stamp"))
 
 
 def report(metrics: DataFrame, cvs: int, vacancies: int, most: int = 1000) -> str:
