@@ -25,6 +25,7 @@ def test_no_cartesian_product(spark, name):
 
 
 def test_scans_are_pruned_and_filters_pushed(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
     p = plan(entry.queries()["q_rank_unified"](spark, DATA))
     schema = re.search(r"ReadSchema: struct<([^>\n]*)", p).group(1)
     assert "matched_skills" not in schema and "vacancy_title" not in schema and "IsNotNull(total_score)" in p
