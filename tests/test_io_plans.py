@@ -82,3 +82,14 @@ def test_streams(spark, tmp_path):
     w = stream.counts_by_window(source, "ts", "id").writeStream.format("memory").queryName("win").outputMode("complete").option("checkpointLocation", f"{tmp_path}/c3").trigger(availableNow=True).start()
     w.awaitTermination(60)
     assert spark.table("win").first().n == 2
+
+
+def test_written_tables_are_read_back_and_cleaned(spark):
+    from braidwork import session
+
+    df = session.materialize(spark.range(5).withColumn("x", F.lit("y")))
+    assert df.count() == 5 and df.columns == ["id", "x"]
+    folder = session._run_folder(spark).removeprefix("file://")
+    assert session.shared_dir(spark) == session.shared_dir(spark)
+    keep = spark.sparkContext.applicationId
+    assert folder.endswith(keep)
