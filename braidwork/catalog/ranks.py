@@ -104,9 +104,9 @@ def q_top20pct(t: Tables) -> DataFrame:
     return d.where(F.col("rank") <= F.floor(0.2 * F.col("n"))).select("cv_id", "vacancy_id")
 
 
-@query(f"SELECT cv_id, round(avg(total_score), 6) AS mean_score, count(*) AS n FROM {PAIRS} GROUP BY cv_id")
+@query(f"SELECT cv_id, round(avg(total_score), 10) AS mean_score, count(*) AS n FROM {PAIRS} GROUP BY cv_id")
 def q_mean_score(t: Tables) -> DataFrame:
-    return pairs(t).groupBy("cv_id").agg(F.round(F.avg("total_score"), 6).alias("mean_score"), F.count("*").alias("n"))
+    return pairs(t).groupBy("cv_id").agg(F.round(F.avg("total_score"), 10).alias("mean_score"), F.count("*").alias("n"))
 
 
 @query(f"SELECT annotator, cv_id, vacancy_id, round(avg(rank_no) OVER (PARTITION BY annotator, cv_id ORDER BY vacancy_id ROWS UNBOUNDED PRECEDING), 6) AS running_mean FROM {VOTES}")
@@ -221,11 +221,11 @@ def q_evaluate(t: Tables) -> DataFrame:
     return M.evaluate(lists(t), ["annotator"]).select("annotator", *[F.round(m, 4).alias(m) for m in _MEANS], "n")
 
 
-@query(f"SELECT annotator, round(alpha, 4) AS alpha, CAST(row_number() OVER (ORDER BY alpha DESC, annotator) AS INTEGER) AS place FROM {_EVAL}")
+@query(f"SELECT annotator, round(alpha, 4) AS alpha, CAST(row_number() OVER (ORDER BY round(alpha, 9) DESC, annotator) AS INTEGER) AS place FROM {_EVAL}")
 def q_compare(t: Tables) -> DataFrame:
     """Methods by alpha, best first; annotators stand for methods, so the table is as small as their number."""
     e = M.evaluate(lists(t), ["annotator"]).select("annotator", "alpha")
-    return e.withColumn("place", F.row_number().over(Window.orderBy(F.desc("alpha"), "annotator"))).select("annotator", F.round("alpha", 4).alias("alpha"), "place")
+    return e.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.round("alpha", 9)), "annotator"))).select("annotator", F.round("alpha", 4).alias("alpha"), "place")
 
 
 @query(f"SELECT annotator, alpha, n FROM (SELECT annotator, round(alpha, 4) AS alpha, n FROM {_EVAL}) ORDER BY alpha DESC, annotator LIMIT 10")
