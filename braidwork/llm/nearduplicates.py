@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from braidwork.session import materialize
 
 WORD = re.compile(r"[^\W_]+")
-COORDS = 32
+#: Min-hashes that paths are chosen by; the first ones of those that the sketch has a bit of.
+COORDS = 128
 #: Tokens of a path that are chosen at once at its root.
 ROOT = 2
 SKETCH = 256
@@ -64,11 +66,11 @@ def signatures(docs: DataFrame, k: int, seed: int = 7) -> DataFrame:
     """``space, id, n, fp1, fp2, coords, s0..s3`` of ``space, id, text``; texts of fewer than ``k`` words have none.
 
     ``fp1, fp2`` identify the set, ``coords`` are min-hashes that paths are chosen by, ``s0..s3`` hold one bit of each
-    of further min-hashes.
+    of these and of further min-hashes.
     """
     rng = np.random.default_rng(seed)
-    a = (rng.integers(0, 1 << 32, COORDS + SKETCH, dtype="uint32") | np.uint32(1))[:, None]
-    b = rng.integers(0, 1 << 32, COORDS + SKETCH, dtype="uint32")[:, None]
+    a = (rng.integers(0, 1 << 32, SKETCH, dtype="uint32") | np.uint32(1))[:, None]
+    b = rng.integers(0, 1 << 32, SKETCH, dtype="uint32")[:, None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(k)
@@ -85,10 +87,10 @@ def signatures(docs: DataFrame, k: int, seed: int = 7) -> DataFrame:
                         prints.append((s.sum(), np.bitwise_xor.reduce(_mix(s + np.uint64(seed)))))
                         lows.append(m.min(axis=1))
                 n = len(kept)
-                low = _mix(np.array(lows, "uint64").reshape(n, COORDS + SKETCH) << np.uint64(20))
-                bits = np.packbits((low[:, COORDS:] & np.uint64(1)).astype("uint8"), axis=1).view("int64").reshape(n, SKETCH // 64)
+                low = _mix(np.array(lows, "uint64").reshape(n, SKETCH) << np.uint64(20))
+                bits = np.packbits((low & np.uint64(1)).astype("uint8"), axis=1).view("int64").reshape(n, SKETCH // 64)
                 fp = np.array(prints, "uint64").reshape(n, 2).view("int64")
-                coords = pa.ListArray.from_arrays(np.arange(0, n * COORDS + 1, COORDS, dtype="int32"), low[:, :COORDS].astype("uint32").view("int32").ravel())
+                coords = pa.ListArray.from_arrays(np.arange(0, n * COORDS + 1, COORDS, dtype="int32"), (low[:, :COORDS] >> np.uint64(32)).astype("uint32").view("int32").ravel())
                 own = batch.take(pa.array(kept, "int64"))
                 columns = [own.column(0), own.column(1), pa.array(sizes, "int32"), *(pa.array(np.ascontiguousarray(fp[:, j])) for j in range(2)), coords, *(pa.array(np.ascontiguousarray(bits[:, j])) for j in range(SKETCH // 64))]
                 yield pa.RecordBatch.from_arrays(columns, names=["space", "id", "n", "fp1", "fp2", "coords", "s0", "s1", "s2", "s3"])
@@ -96,14 +98,29 @@ def signatures(docs: DataFrame, k: int, seed: int = 7) -> DataFrame:
     return docs.select("space", "id", "text").mapInArrow(run, "space int, id long, n int, fp1 long, fp2 long, coords array<int>, s0 long, s1 long, s2 long, s3 long")
 
 
+def _odds(n: int, p: float) -> np.ndarray:
+    """The probabilities of 0..n successes in ``n`` trials."""
+    return np.array([comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1)])
+
+
 def runs_needed(similarity: float, recall: float, branches: int, depth: int) -> int:
-    """Runs after which a pair at the threshold has met in a bucket of depth ``depth`` with probability ``recall``: a
-    pair that shares a bucket shares each of its children with probability ``similarity``."""
-    lost = 0.0
+    """Runs after which a pair at the threshold has met in a bucket of depth ``depth``, and its sketches have been close,
+    with probability ``recall``.
+
+    All runs and branches draw on the same coordinates, so the number of those that the pair shares is fixed first: for
+    each such number the runs are as good as independent, and a pair that shares a bucket shares each of its children
+    with the shared part as probability. The mean over these numbers is what is lost.
+    """
+    shared = np.arange(COORDS + 1) / COORDS
+    lost = np.zeros(COORDS + 1)
     for _ in range(depth - ROOT):
-        lost = (1 - similarity + similarity * lost) ** branches
-    one = 1 - similarity**ROOT * (1 - lost)
-    return max(1, int(np.ceil(np.log(1 - recall) / np.log(one))))
+        lost = (1 - shared + shared * lost) ** branches
+    one = 1 - shared**ROOT * (1 - lost)
+    odds, apart = _odds(COORDS, similarity), _odds(SKETCH, (1 - similarity) / 2)[_differing(similarity) + 1 :].sum()
+    for runs in range(1, len(_root_coordinates(COORDS**2)) + 1):
+        if odds @ one**runs + apart <= 1 - recall:
+            return runs
+    raise ValueError(f"a recall of {recall} at a similarity of {similarity} takes more than {COORDS} coordinates and sketches of {SKETCH} bits")
 
 
 def _root_coordinates(runs: int) -> list[tuple[int, int]]:
@@ -112,12 +129,17 @@ def _root_coordinates(runs: int) -> list[tuple[int, int]]:
     return out[:runs]
 
 
-def _close(similarity: float) -> Column:
-    """Whether two sketches agree as much as those of sets at the threshold do, less 3.3 standard deviations."""
+def _differing(similarity: float) -> int:
+    """Bits that the sketches of sets at the threshold differ in, and 3.3 standard deviations more."""
     p = (1 + similarity) / 2
     least = p - 3.3 * (p * (1 - p) / SKETCH) ** 0.5
+    return int(SKETCH * (1 - least))
+
+
+def _close(similarity: float) -> Column:
+    """Whether two sketches agree as much as those of sets at the threshold do, less 3.3 standard deviations."""
     differ = sum((F.bit_count(F.col(f"a.s{i}").bitwiseXOR(F.col(f"b.s{i}"))) for i in range(1, 4)), F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))))
-    return differ <= int(SKETCH * (1 - least))
+    return differ <= _differing(similarity)
 
 
 def _pairs(left: DataFrame, on: list[str], similarity: float, extra: Column | None = None) -> DataFrame:
@@ -136,7 +158,7 @@ def candidates(sigs: DataFrame, similarity: float, recall: float = 0.995, limit:
     In every run a set goes into the bucket of two of its coordinates' values. Buckets of one set end. Buckets of up
     to ``limit`` sets are compared by their sketches. The sets of larger buckets choose ``branches`` further
     coordinates, the same for the whole bucket, and go on, level by level. There are as many runs as it takes for a
-    pair at the threshold to meet with probability ``recall``. Buckets that are too large at ``depth`` are compared in
+    pair at the threshold to meet with probability ``recall`` even if its buckets are split to ``depth``. Buckets that are too large at ``depth`` are compared in
     blocks, so that no pair is given up.
     """
     light = sigs.select("space", "id", "coords")

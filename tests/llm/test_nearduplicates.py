@@ -51,6 +51,14 @@ def test_small_buckets_force_recursion_and_blocks(spark):
     assert len((want - same) - found) <= 0.02 * len(want)
 
 
+def test_recall_at_the_threshold_where_every_bucket_is_split_to_the_last_depth(spark):
+    pairs = 6000
+    rows = [(0, 2 * p + side, " ".join([f"p{p}c{i}" for i in range(40)] + [f"p{p}s{side}x{i}" for i in range(20)])) for p in range(pairs) for side in (0, 1)]
+    sigs = N.materialize(N.signatures(spark.createDataFrame(rows, "space int, id long, text string").repartition(4), 1))
+    found = {(r.id_a, r.id_b) for r in N.candidates(sigs, 0.5, recall=0.995, limit=1, depth=6).collect()}
+    assert len(found & {(2 * p, 2 * p + 1) for p in range(pairs)}) >= (0.995 - 3 * 0.0009) * pairs
+
+
 def test_many_copies_are_linked_to_one(spark):
     docs = spark.createDataFrame([(0, i, "same five words in here") for i in range(30)], "space int, id long, text string")
     links, members = N.similar_sets(docs, 3, 0.5)
