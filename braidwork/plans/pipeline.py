@@ -47,11 +47,17 @@ def analyse_vacancies(raw: DataFrame) -> DataFrame:
     return raw.select("vacancy_id", "job_title", T.clean(F.col("job_description")).alias("job_description"), T.required_years(F.col("job_description")).alias("required_years"))
 
 
-def candidate_pairs(resumes: DataFrame, vacancies: DataFrame, synonyms: dict[str, str]) -> DataFrame:
-    """Pairs that share a canonical skill: an equi-join in place of all pairs."""
-    c = resumes.select("cv_id", F.explode(K.canonical(K.normalize(F.col("skills")), synonyms)).alias("skill"))
-    v = vacancies.select("vacancy_id", F.explode(K.canonical(K.normalize(T.tech_skills(F.col("job_description"))), synonyms)).alias("skill"))
-    return c.join(v, "skill").select("cv_id", "vacancy_id").distinct()
+def candidate_pairs(resumes: DataFrame, vacancies: DataFrame, per_block: int = 1000) -> DataFrame:
+    """Every resume with every vacancy, whether they share a skill or not: the methods other than keywords need none.
+
+    Both sides are cut into blocks of about ``per_block`` ids, and the pairs of two blocks are made by an equi-join on
+    the two block numbers, so that no task has more than about ``per_block`` squared pairs. Null ids are in no pair.
+    """
+    c, v = (d.select(k).where(F.col(k).isNotNull()).distinct() for d, k in ((resumes, "cv_id"), (vacancies, "vacancy_id")))
+    n, m = (max(1, -(-d.count() // per_block)) for d in (c, v))
+    c = c.withColumn("__c", F.pmod(F.xxhash64("cv_id"), F.lit(n)).cast("int")).withColumn("__v", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    v = v.withColumn("__v", F.pmod(F.xxhash64("vacancy_id"), F.lit(m)).cast("int")).withColumn("__c", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return c.join(v, ["__c", "__v"]).select("cv_id", "vacancy_id")
 
 
 def score(resumes: DataFrame, vacancies: DataFrame, pairs: DataFrame, synonyms: dict[str, str], features: int = 1000) -> DataFrame:
@@ -84,9 +90,12 @@ def rank_all(scored: DataFrame) -> DataFrame:
 
 
 def run(resumes: DataFrame, vacancies: DataFrame, catalog: DataFrame, pairs: DataFrame | None = None, english_only: bool = True) -> Run:
-    """From raw documents to the ranks of all methods."""
+    """From raw documents to the ranks of all methods; of all pairs, or of ``pairs``, which must be ``cv_id, vacancy_id``.
+
+    To match a set of resumes only, pass ``candidate_pairs`` of them and the vacancies.
+    """
     synonyms = K.synonym_map(catalog)
     r, v = materialize(analyse_resumes(resumes, english_only), "resumes"), materialize(analyse_vacancies(vacancies), "vacancies")
-    p = materialize(candidate_pairs(r, v, synonyms) if pairs is None else pairs, "candidates")
+    p = materialize(candidate_pairs(r, v) if pairs is None else pairs, "candidates")
     scored = score(r, v, p, synonyms)
     return Run(r, v, scored, rank_all(scored))

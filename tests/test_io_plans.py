@@ -70,6 +70,29 @@ def test_whole_run(spark):
     assert "Best method" in writers.report(m, 3, 5)
 
 
+def test_pairs_without_a_common_skill_are_ranked_by_every_method(spark):
+    cook = "the chef of the house is in the kitchen and has the menu for the team. Soups and sauces of the season in the office"
+    cvs = spark.createDataFrame([(1, cook), (2, "the best of python and sql in the team and the office of the firm"), (None, cook), (3, "the one with java is in the team and the house of the firm")], "cv_id long, raw_text string")
+    vac = spark.createDataFrame([(1, "Dev", "must have python and sql"), (2, "Cook", "a chef for soups and sauces, the menu of the season"), (3, "None", None), (4, "Empty", "")], "vacancy_id long, job_title string, job_description string")
+    catalog = spark.createDataFrame([(1, "skill", "python", ["py"])], "catalog_id int, entry_kind string, canonical string, other_names array<string>")
+    run = pipeline.run(cvs, vac, catalog)
+    every = {(c, v) for c in (1, 2, 3) for v in (1, 2, 3, 4)}
+    assert sorted((r.cv_id, r.vacancy_id) for r in run.pairs.collect()) == sorted(every)
+    ranks = run.ranks.collect()
+    for method in pipeline.METHODS:
+        assert sorted((r.cv_id, r.vacancy_id) for r in ranks if r.method == method) == sorted(every)
+        assert sorted(r.place for r in ranks if r.method == method and r.cv_id == 1) == [1, 2, 3, 4]
+    assert {r.vacancy_id for r in ranks if r.cv_id == 1 and r.place == 1 and r.method in ("tfidf", "bm25", "semantic")} == {2}
+    assert all(r.score is not None for r in ranks)
+
+
+def test_all_pairs_in_blocks(spark):
+    c, v = spark.range(23).withColumnRenamed("id", "cv_id"), spark.range(17).withColumnRenamed("id", "vacancy_id")
+    pairs = pipeline.candidate_pairs(c.union(c), v, per_block=5)
+    assert pairs.count() == 23 * 17 == pairs.distinct().count()
+    assert pipeline.candidate_pairs(c.where("cv_id < 0"), v).count() == 0
+
+
 def test_streams(spark, tmp_path):
     spark.createDataFrame([(1, "Python and SQL in the house of the team and the office is here.", "2024-01-01 10:00:00"), (1, "again", "2024-01-01 10:00:00")], "id int, t string, ts string").withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{tmp_path}/in")
     source = spark.readStream.schema("id int, t string, ts timestamp").parquet(f"{tmp_path}/in")
