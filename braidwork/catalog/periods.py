@@ -13,6 +13,7 @@ from braidwork.functions import lexicons as X
 from braidwork.functions import text as T
 from braidwork.operators import ballots as B
 from braidwork.operators import experience as E
+from braidwork.operators import grid as N
 from braidwork.operators import metrics as M
 from braidwork.operators import terms as G
 
@@ -127,37 +128,17 @@ def q_json_roundtrip(t: Tables) -> DataFrame:
     return j.select(F.from_json("j", "cv_id bigint, vacancy_id bigint, total_score double").alias("r")).select("r.*")
 
 
-_SIZES = ((1, 2), (1, 3), (2, 3))
-
-
 @query()
 def q_vm_grid(t: Tables) -> DataFrame:
-    """Mean Spearman correlation with the consensus of ranking by L1 distance, for n-gram ranges and both texts of a vacancy.
+    """Mean alpha and Spearman correlation with the consensus of ranking by L1 distance: four text types on either side,
+    nine representations, 144 configurations.
 
-    Candidates are the vacancies of the ballots; a configuration that cannot be told from another is not repeated.
+    Candidates are the vacancies of the ballots. The three representations without an n-gram range are not repeated
+    for each range: the other 96 of the 240 configurations would give the same.
     """
-    from braidwork.operators.semantic import l1_pairs
-
-    truth = B.consensus(votes(t)).select("cv_id", "vacancy_id", "rank")
-    p = truth.select("cv_id", "vacancy_id")
-    cv = t.cv.join(p.select("cv_id").distinct(), "cv_id", "left_semi")
-    vac = t.vac.join(p.select("vacancy_id").distinct(), "vacancy_id", "left_semi")
-    out = None
-    for lo, hi in _SIZES:
-        for side in ("full", "summary"):
-            own = T.summary(F.col("job_description")) if side == "summary" else F.col("job_description")
-            grams = lambda d, key, c: _normed(G.term_counts(d, [key], G.char_ngrams(c, range(lo, hi + 1))), key)  # noqa: B023, E731
-            d = l1_pairs(p, grams(cv, "cv_id", F.col("text")), grams(vac, "vacancy_id", own), "cv_id", "vacancy_id")
-            place = F.row_number().over(Window.partitionBy("cv_id").orderBy(F.round("l1", 9), "vacancy_id"))
-            lists = M.aligned(d.withColumn("place", place), truth, ["cv_id"], "vacancy_id", "place", "rank")
-            one = lists.select(F.lit(f"{lo}-{hi}").alias("ngrams"), F.lit(side).alias("vacancy_text"), M.spearman(F.col("p"), F.col("t")).alias("rho"))
-            out = one if out is None else out.unionByName(one)
-    return out.groupBy("ngrams", "vacancy_text").agg(F.round(F.avg("rho"), 4).alias("rho"), F.count("*").alias("n"))
-
-
-def _normed(counts: DataFrame, key: str) -> DataFrame:
-    own = Window.partitionBy(key)
-    return counts.select(key, "term", (F.col("tf") / F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(own))).alias("w"))
+    lists = N.grid(t.cv, t.vac.select("vacancy_id", F.col("job_description").alias("text")), B.consensus(votes(t)))
+    m = lists.select("resume_text", "vacancy_text", "representation", "ngrams", M.alpha(F.col("p"), F.col("t")).alias("alpha"), M.spearman(F.col("p"), F.col("t")).alias("rho"))
+    return m.groupBy("resume_text", "vacancy_text", "representation", "ngrams").agg(F.round(F.avg("alpha"), 4).alias("alpha"), F.round(F.avg("rho"), 4).alias("rho"), F.count("*").alias("n"))
 
 
 @query(f"SELECT cv_id, coalesce(list_ranks, '1,2,3,4,5') AS ranks FROM (SELECT DISTINCT cv_id FROM cv_data) LEFT JOIN (SELECT cv_id, string_agg(rank, ',' ORDER BY vacancy_id) AS list_ranks FROM {TRUTH} GROUP BY cv_id) USING (cv_id)")

@@ -81,3 +81,35 @@ def test_context_periods(spark):
     t = "Work 2001-2003, 2004 - now. " + "x" * 60 + " University of Here 1990-1995 " + "y" * 60 + " 2010-2012"
     rows = E.context_periods(spark.createDataFrame([(1, t)], "k int, t string"), "k", "t").collect()
     assert sorted((r.start, r.end) for r in rows) == [(2001, 2003), (2004, 2026), (2010, 2012)]
+
+
+def test_grid_has_every_configuration(spark):
+    import re
+    from collections import Counter
+
+    from braidwork.functions.lexicons import STOP_WORDS
+    from braidwork.operators import grid
+
+    cvs = {1: "Python Sql Python and Spark. " * 12 + "The Python team of Acme", 2: "Soups, sauces and the menu of the season"}
+    vacancies = {1: "python sql spark", 2: "menu, soups and sauces of the season", 3: "python menu sauces. " * 15}
+    truth = spark.createDataFrame([(c, v, v) for c in cvs for v in vacancies], "cv_id long, vacancy_id long, rank int")
+    got = grid.grid(spark.createDataFrame(list(cvs.items()), "cv_id long, text string"), spark.createDataFrame(list(vacancies.items()), "vacancy_id long, text string"), truth).collect()
+    assert Counter((r.resume_text, r.vacancy_text, r.representation, r.ngrams) for r in got) == {(a, b, *c): 2 for a in grid.TYPES for b in grid.TYPES for c in grid.REPRESENTATIONS}
+    assert len(grid.TYPES) ** 2 * len(grid.REPRESENTATIONS) == 144
+
+    def vector(text, lo, hi, words):
+        low = re.sub(r"\s\s+", " ", text.lower())
+        x = [w for w in re.findall(r"\w{2,}", low) if w not in STOP_WORDS] if words else list(low)
+        c = Counter(tuple(x[i : i + n]) for n in range(lo, hi + 1) for i in range(len(x) - n + 1))
+        norm = sum(v * v for v in c.values()) ** 0.5
+        return {k: v / norm for k, v in c.items()}
+
+    for representation, words in (("char_ngrams", False), ("word_ngrams", True)):
+        for lo, hi in grid.RANGES:
+            want = []
+            for c in cvs.values():
+                a = vector(c, lo, hi, words)
+                gaps = [(round(sum(abs(a.get(k, 0) - b.get(k, 0)) for k in {**a, **b}), 9), v) for v, b in ((v, vector(t, lo, hi, words)) for v, t in vacancies.items())]
+                want.append([float(sorted(gaps).index(g) + 1) for g in gaps])
+            rows = [r.p for r in got if (r.resume_text, r.vacancy_text, r.representation, r.ngrams) == ("full", "full", representation, f"{lo}-{hi}")]
+            assert sorted(rows) == sorted(want)
