@@ -213,7 +213,10 @@ def similar_sets(docs: DataFrame, k: int = 5, similarity: float = 0.8, recall: f
     reps = one.groupBy("space", "fp1", "fp2", "n").agg(F.min("id").alias("class_id"))
     members = materialize(one.join(reps, ["space", "fp1", "fp2", "n"]).select("space", "id", "class_id", "fp1", "fp2", "n"), "members")
     heads = members.where(F.col("id") == F.col("class_id")).select("space", "id", "fp1", "fp2", "n")
-    distinct_sets = materialize(sigs.join(heads, ["space", "id", "fp1", "fp2", "n"], "left_semi").dropDuplicates(["space", "id"]), "sets")
+    # not an equi-join on the fingerprints: then the rows lie as dropDuplicates needs them, and are shuffled once
+    same = heads.select("space", "id", F.col("fp1").alias("__1"), F.col("fp2").alias("__2"), F.col("n").alias("__n"))
+    kept = F.col("fp1").bitwiseXOR(F.col("__1")).bitwiseOR(F.col("fp2").bitwiseXOR(F.col("__2"))).bitwiseOR(F.col("n").bitwiseXOR(F.col("__n")).cast("long")) == 0
+    distinct_sets = materialize(sigs.join(same, ["space", "id"]).where(kept).select(sigs.columns).dropDuplicates(["space", "id"]), "sets")
     maybe = materialize(candidates(distinct_sets, similarity, recall), "candidates")
     wanted = maybe.select("space", F.col("id_a").alias("id")).unionByName(maybe.select("space", F.col("id_b").alias("id"))).distinct()
     wanted = wanted.join(heads.select("space", "id", "fp1"), ["space", "id"])  # of unequal texts under one id, the one that was compared
@@ -228,20 +231,24 @@ def similar_sets(docs: DataFrame, k: int = 5, similarity: float = 0.8, recall: f
     return materialize(links, "links"), members.select("space", "id", "class_id")
 
 
-def expand(links: DataFrame, members: DataFrame, most: int = 1000) -> DataFrame:
+def expand(links: DataFrame, members: DataFrame, most: int | None = None, block: int = 1000) -> DataFrame:
     """``space, id_a, id_b`` of all similar records: links and copies of their sets.
 
-    Copies of one set are paired with each other, and with the copies of linked sets, up to ``most`` copies of a set;
-    of a set with more copies, each is linked to the lowest id only, which stands for it in the links: the form that
-    groups of exact copies have instead of all pairs.
+    Copies of one set are paired with each other, in blocks of about ``block`` of them, and with the copies of linked
+    sets, however many there are. With ``most``, each copy of a set with more copies is linked to the lowest id only,
+    which stands for it in the links; ``groups`` has the membership then.
     """
     several = members.groupBy("space", "class_id").agg(F.count("*").alias("copies"))
     sized = members.join(several, ["space", "class_id"])
-    shown = sized.where((F.col("copies") <= most) | (F.col("id") == F.col("class_id"))).select("space", "class_id", "id")
+    paired = F.lit(True) if most is None else F.col("copies") <= most
+    shown = sized.where(paired | (F.col("id") == F.col("class_id"))).select("space", "class_id", "id")
     dup = sized.where(F.col("copies") > 1)
-    star = dup.where((F.col("copies") > most) & (F.col("id") != F.col("class_id"))).select("space", F.col("class_id").alias("id_a"), F.col("id").alias("id_b"))
-    few = dup.where(F.col("copies") <= most).select("space", "class_id", "id")
-    inside = few.alias("a").join(few.alias("b"), (F.col("a.space") == F.col("b.space")) & (F.col("a.class_id") == F.col("b.class_id")) & (F.col("a.id") < F.col("b.id"))).select("a.space", F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
+    star = dup.where(~paired & (F.col("id") != F.col("class_id"))).select("space", F.col("class_id").alias("id_a"), F.col("id").alias("id_b"))
+    blocks = F.ceil(F.col("copies") / block).cast("int")
+    few = dup.where(paired).withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    few = few.select("space", "class_id", "id", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("space", "class_id", "lo", "hi")]
+    inside = few.alias("a").join(few.alias("b"), [*on, F.col("a.id") < F.col("b.id"), (F.col("a.own") != F.col("b.own")) | (F.col("a.lo") == F.col("a.hi"))]).select("a.space", F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
     x = shown.select("space", F.col("class_id").alias("id_a"), F.col("id").alias("x"))
     y = shown.select("space", F.col("class_id").alias("id_b"), F.col("id").alias("y"))
     across = links.join(x, ["space", "id_a"]).join(y, ["space", "id_b"]).select("space", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))

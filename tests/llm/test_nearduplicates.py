@@ -65,6 +65,15 @@ def test_many_copies_are_linked_to_one(spark):
     assert links.count() == 0 and N.expand(links, members, most=10).count() == 29 and N.expand(links, members).count() == 30 * 29 // 2
 
 
+def test_pairs_of_a_large_group_are_all_given(spark):
+    n = 1100  # one set of shingles in different texts, and a record that is similar to all of them
+    rows = [(0, i, ("Same" if i % 2 else "same") + " five words in here" + "!" * (i % 7)) for i in range(n)] + [(0, n, "same five words in here too")]
+    links, members = N.similar_sets(spark.createDataFrame(rows, "space int, id long, text string"), 3, 0.5)
+    got = N.expand(links, members, block=100)
+    assert got.count() == got.distinct().count() == n * (n + 1) // 2 and got.where("id_a >= id_b").isEmpty()
+    assert N.expand(links, members).count() == n * (n + 1) // 2
+
+
 def test_groups_are_connected_components(spark):
     links = spark.createDataFrame([(0, 1, 2), (0, 2, 3), (0, 3, 4), (0, 4, 5), (0, 8, 9)], "space int, id_a long, id_b long")
     members = spark.createDataFrame([(0, i, i) for i in (1, 2, 3, 4, 5, 8, 9, 20)] + [(0, 21, 20)], "space int, id long, class_id long")
