@@ -296,7 +296,7 @@ def free_values(match_results: DataFrame, vacancies: DataFrame, catalog: DataFra
     JVM before the arrays are exploded; the distinct rows are shuffled once and resolved where they lie.
     """
     names: dict[str, list[str]] = {"skill": [], "title": []}
-    for r in catalog.where(F.col("entry_kind").isin("skill", "title")).select("entry_kind", "canonical").limit(200_001).collect():
+    for r in catalog.where(F.col("entry_kind").isin("skill", "title") & F.col("canonical").isNotNull()).select("entry_kind", "canonical").limit(200_001).collect():
         names[r["entry_kind"]].append(r["canonical"])
 
     def open_values(array: str) -> Column:

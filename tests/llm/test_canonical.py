@@ -68,3 +68,12 @@ def test_table(spark):
     assert got == [("job_title", 6, "data engineer", 7), ("matched_skills", 1, "pyhton", 1), ("missing_skills", 2, "welding", 0)]
     assert C.free_values(m.limit(0), v.limit(0), c).count() == 0
     assert {r.catalog_id for r in C.free_values(m, v, c.limit(0)).collect()} == {0}
+
+
+def test_entries_without_a_name_change_nothing(spark):
+    m = spark.createDataFrame([(1, ["python", "pyhton"], ["welding"])], "result_id long, matched_skills array<string>, missing_skills array<string>")
+    v = spark.createDataFrame([(5, "Data Engineer"), (6, "data engineer")], "vacancy_id long, job_title string")
+    named = [(i, "skill", n, list(o)) for i, n, o in ENTRIES] + [(i, "title", n, None) for i, n, _ in TITLES]
+    c = spark.createDataFrame([*named, (900, "skill", None, None), (901, "title", None, ["x"])], "catalog_id int, entry_kind string, canonical string, other_names array<string>")
+    got = sorted(tuple(r) for r in C.free_values(m, v, c).collect())
+    assert got == [("job_title", 6, "data engineer", 7), ("matched_skills", 1, "pyhton", 1), ("missing_skills", 1, "welding", 0)]
