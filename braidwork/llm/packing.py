@@ -1,4 +1,4 @@
-"""Filling fixed-capacity containers with items (problem 7): shortest-pack-first over the length histogram."""
+"""Filling fixed-capacity containers with items (problem 7): best fit over the length histogram."""
 
 from __future__ import annotations
 

@@ -87,8 +87,11 @@ def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = materialize(_sized(spark, sf_dir), "tokens")
     total = sized.count()
+    kinds = table(spark, sf_dir, "containers").orderBy("container_kind").limit(101).collect()
+    if len(kinds) > 100:
+        raise ValueError("more than 100 kinds of containers")
     packed = None
-    for r in table(spark, sf_dir, "containers").orderBy("container_kind").limit(100).collect():
+    for r in kinds:
         one = packing.pack(sized, "doc_id", "tokens", r["capacity_tokens"], total).select(F.lit(r["container_kind"]).alias("container_kind"), "*")
         packed = one if packed is None else packed.unionByName(one)
     return packed

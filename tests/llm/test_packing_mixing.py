@@ -91,3 +91,12 @@ def test_token_counts(spark):
     df = spark.createDataFrame([("hello world",), ("",), (None,), ("<|endoftext|>",), ("x " * 30_000,)], "t string")
     n = [r.n for r in df.select(T.token_count(F.col("t")).alias("n")).collect()]
     assert n[:3] == [2, 0, 0] and n[3] > 1 and n[4] >= 30_000
+
+
+def test_too_many_kinds_of_containers_are_an_error(spark, tmp_path):
+    from braidwork.llm import queries
+
+    spark.createDataFrame([(1, "a", "some text")], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(f"k{i}", 100) for i in range(101)], "container_kind string, capacity_tokens int").write.parquet(f"{tmp_path}/containers.parquet")
+    with pytest.raises(ValueError, match="more than 100 kinds"):
+        queries.p7_pack(spark, str(tmp_path))
