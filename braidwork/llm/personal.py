@@ -1,22 +1,23 @@
 """Personal information inside free text (problem 5): bootstrapped contextual extraction.
 
-Seed entities of strict form induce lexical patterns, that is contexts and shapes. Spark scores patterns by the
+Seed entities of strict form induce lexical patterns, that is contexts and forms. Spark scores patterns by the
 entities they hold and entities by the patterns that hold them, round by round; patterns of high confidence then
-find identifiers that no seed form covers.
+find identifiers that no seed form covers. All five types go through the patterns: candidates are parsed once, and
+every further step joins the candidate table with the table of patterns.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.session import materialize
+from braidwork.session import materialize, spread
 
 EMAIL = re.compile(
     r"(?<![\w.+-])(?:[\w.+-]*\w(?:@| ?\[at\] ?| ?\(at\) ?| @ )[\w-]+(?:(?:\.| ?\[dot\] ?| ?\(dot\) ?| dot )[\w-]+)*(?:\.| ?\[dot\] ?| ?\(dot\) ?| dot )[^\W\d_]{2,}"
@@ -49,8 +50,9 @@ STREET = re.compile(
 )
 AT = re.compile(r"@|[\[(]at[\])]| dot ", re.I)
 DIGIT = re.compile(r"\d")
-TOKEN = re.compile(r"[^\W\d_]+(?:[-’'][^\W\d_]+)*\.?|\d+|\n|[^\w\s]")
-NAME_PART = r"(?:[^\W\d_]+(?:[-’'][^\W\d_]+)*|[^\W\d_]\.)"
+#: Words (short ones with the dot of an abbreviation), numbers, line breaks, signs.
+TOKEN = re.compile(r"[^\W\d_]{1,4}\.(?=[ \xa0])|[^\W\d_]+(?:[-’'][^\W\d_]+)*|\d+|\n|[^\w\s]")
+NAME_PART = r"(?:[^\W\d_]\.|[^\W\d_]+(?:[-’'][^\W\d_]+)*)"
 #: Titles are no part of a name. Fixed values.
 TITLES = {"dr", "prof", "mr", "mrs", "ms", "miss", "herr", "frau", "sr", "sra", "srta", "don", "doña", "dra", "mme", "mlle", "m", "dipl", "ing", "eng", "г-н", "г-жа", "господин", "госпожа"}
 #: Labels of identity numbers whose values are seeds. Fixed values.
@@ -60,6 +62,13 @@ STRICT = {
     "phone": re.compile(r"\+\d[\d ()/.-]{6,}\d"),
     "id_number": re.compile(r"\d{3}-\d{2}-\d{4}|\d{3}\.\d{3}\.\d{3}-\d{2}"),
 }
+STRICT_EMAIL = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+")
+AT_DOT = re.compile(r" ?[\[(]at[\])] ?| ?@ ?| at | ?[\[(]dot[\])] ?| dot |\.", re.I)
+CAPITAL = r"(?:[A-ZÀ-ÖØ-ÞŒŠŽŸА-ЯЁ][^\W\d_]*(?:[-’'][^\W\d_]+)*\.?)"
+#: Looser than ADDRESS: capitalised words with a number before or behind, whatever the street is called.
+LOOSE_ADDRESS = re.compile(rf"\b\d{{1,3}}[a-z]?,?[ \xa0]{CAPITAL}(?:[ \xa0]{CAPITAL}){{1,3}}|{CAPITAL}(?:[ \xa0]{CAPITAL}){{0,2}},?[ \xa0]\d{{1,3}}[a-z]?\b")
+RUN = re.compile(rf"(?<![\w@.-]){CAPITAL}(?:,[ \xa0]{{1,2}}{CAPITAL}(?:[ \xa0]{{1,2}}{CAPITAL})?|(?:[ \xa0]{{1,2}}{CAPITAL})+)(?![\w@])")
+SMALL_RUN = re.compile(rf"(?<![\w@.-]){NAME_PART}(?:,?[ \xa0]{{1,2}}{NAME_PART})*(?![\w@])")
 TYPES = ("person_name", "email", "phone", "id_number", "street_address")
 
 
@@ -74,15 +83,29 @@ def shape(value: str) -> str:
     return re.sub(r"[^\W\d_]", "A", re.sub(r"\d", "0", v))
 
 
-def tokens_before(text: str, at: int, n: int = 2) -> list[str]:
-    """The last ``n`` tokens before a place, lower-cased, numbers as 0; a line break is a token, ``^`` the start."""
-    out = [("0" if t[0].isdigit() else t.lower()) for t in TOKEN.findall(text[max(0, at - 60) : at])][-n:]
-    return ["^"] * (n - len(out)) + out
+class Tokens:
+    """The tokens of a text, and those beside a place: lower-cased, numbers as 0, ``^`` before and ``$`` behind all."""
 
+    def __init__(self, text: str) -> None:
+        found = [(m.start(), m.end(), m.group()) for m in TOKEN.finditer(text)]
+        self.text = text
+        self.starts = [s for s, _, _ in found]
+        self.ends = [e for _, e, _ in found]
+        self.words = [t for _, _, t in found]
 
-def tokens_after(text: str, at: int, n: int = 2) -> list[str]:
-    out = [("0" if t[0].isdigit() else t.lower().rstrip(".") or t) for t in TOKEN.findall(text[at : at + 60])][:n]
-    return out + ["$"] * (n - len(out))
+    def _plain(self, i: int, j: int) -> list[str]:
+        return ["0" if t[0].isdigit() else t.lower() for t in self.words[i:j]]
+
+    def before(self, at: int, n: int = 2) -> list[str]:
+        i = bisect_right(self.ends, at)
+        out = self._plain(max(0, i - n), i)
+        return ["^"] * (n - len(out)) + out
+
+    def after(self, at: int, n: int = 2) -> list[str]:
+        i = bisect_left(self.starts, at)
+        cut = [self.text[at : self.ends[i - 1]]] if i and self.ends[i - 1] > at else []
+        out = (cut + [w.rstrip(".") or w for w in self._plain(i, i + n)])[:n]
+        return out + ["$"] * (n - len(out))
 
 
 def numbers(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
@@ -104,10 +127,12 @@ def numbers(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int,
 
 def name_spans(text: str) -> Iterator[tuple[int, int, list[str]]]:
     """Runs of two or three capitalised words or initials in a line, also as ``LAST, First``, without titles."""
-    part = r"(?:[A-ZÀ-ÖØ-ÞŒŠŽŸА-ЯЁ][^\W\d_]*(?:[-’'][^\W\d_]+)*\.?)"
-    gap = r"[ \xa0]{1,2}"
-    for m in re.finditer(rf"(?<![\w@.-]){part}(?:,{gap}{part}(?:{gap}{part})?|(?:{gap}{part}){{1,4}})(?![\w@])", text):
+    for m in RUN.finditer(text):
         spans = [(x.start() + m.start(), x.end() + m.start(), x.group()) for x in re.finditer(r"[^\s,]+", m.group())]
+        for i in range(len(spans) - 2, -1, -1):  # a sentence or a title ends there
+            if spans[i][2].endswith(".") and len(spans[i][2]) > 2:
+                spans = spans[i + 1 :]
+                break
         while spans and spans[0][2].rstrip(".").lower() in TITLES and len(spans) > 2:
             spans.pop(0)
         if spans[-1][2].endswith(".") and len(spans[-1][2]) > 2:
@@ -117,6 +142,16 @@ def name_spans(text: str) -> Iterator[tuple[int, int, list[str]]]:
             yield spans[0][0], spans[-1][1], words
 
 
+def windows(text: str) -> Iterator[tuple[int, int]]:
+    """All runs of two or three words within a line: where a name may stand in text that has no capitals."""
+    for m in SMALL_RUN.finditer(text):
+        spans = [(x.start() + m.start(), x.end() + m.start(), x.group()) for x in re.finditer(r"[^\s,]+", m.group())]
+        for i in range(len(spans)):
+            for j in (i + 1, i + 2):
+                if j < len(spans) and not (spans[j][2].endswith(".") or spans[i][2].rstrip(".") in TITLES):
+                    yield spans[i][0], spans[j][1]
+
+
 def _in_lines(text: str, pattern: re.Pattern, *needs: re.Pattern) -> Iterator[tuple[int, int, str]]:
     """Matches of a pattern that stays within a line, looked for only in lines that have what it needs."""
     at = 0
@@ -135,166 +170,191 @@ def _addresses(text: str) -> list[tuple[int, int, str]]:
     return list(_in_lines(text, ADDRESS, DIGIT, STREET))
 
 
-def candidates(text: str) -> list[tuple[str, str, str, list[str], list[str], str | None, list[str]]]:
-    """``(kind, value, shape, before, after, seed type, words)`` of numbers, names and addresses."""
-    out = []
+def names_address(parts: list[str], words: list[str], mailboxes: list[list[str]]) -> bool:
+    """Whether one e-mail address spells a name: a whole surname of four letters or more, and another part or its initial."""
+    for box in mailboxes:
+        for p in parts:
+            others = [q for q in words if q and q != p]
+            if len(p) > 3 and any(
+                t == p and any(u == q or len(u) == 1 and u == q[0] for u in box if u is not t for q in others) or any(t in (q[0] + p, p + q[0], q + p, p + q) for q in others) for t in box
+            ):
+                return True
+    return False
+
+
+def candidates(text: str) -> list[tuple[int, int, str, str, list[str], list[str], list[str], str | None, bool]]:
+    """``(start, end, kind, value, contexts, forms, both, seed type, counts)`` of all that may be personal data.
+
+    The lexical patterns that hold a candidate are its contexts, its forms (of names, their parts) and, of numbers,
+    context and form together. Windows of text without capitals are searched only; they count in no pattern.
+    """
+    out: list[tuple[int, int, str, str, list[str], list[str], list[str], str | None, bool]] = []
+    near = Tokens(text)
     mails = _emails(text)
-    local = fold(" ".join(re.split(r"@|\[at\]|\(at\)| at ", text[a:b], flags=re.I)[0] for a, b in mails))
+    boxes = []
+    for start, end in mails:
+        v = text[start:end]
+        parts = AT_DOT.split(v)
+        left = re.split(r"@|[\[(]at[\])]| at ", v, flags=re.I)[0]
+        boxes.append([f for f in (fold(re.sub(r"\d", "", w)) for w in re.split(r"[._+ -]", left)) if f])
+        form = "".join(AT_DOT.findall(v)[-min(2, len(parts) - 1) :]).lower()
+        out.append((start, end, "email", v, [f"eL\t{' '.join(near.before(start))}"], [f"eF\t{form}"], [], "email" if STRICT_EMAIL.fullmatch(v) else None, True))
     for start, end, v in numbers(text, mails):
-        before = tokens_before(text, start, 3)
-        label = " ".join(t.rstrip(".") for t in before if t[0].isalpha() or t[0].isdigit())
+        before = near.before(start, 3)
         seed = next((t for t, r in STRICT.items() if r.fullmatch(v)), None)
         words = [t.rstrip(".") for t in before if t not in (":", ".", "-", "№")]
         if not seed and words and (words[-1] in ID_LABELS or " ".join(words[-2:]) in ID_LABELS or words[-1] == "no" and words[-2:-1] and words[-2] in ID_LABELS):
             seed = "id_number"
-        out.append(("number", v, shape(v), before[1:], tokens_after(text, end), seed, [label]))
-    for start, end, words in name_spans(text):
-        parts = [fold(w) for w in words if not w.endswith(".")]
-        seed = "person_name" if len(local) > 3 and any(len(p) > 3 and p in local for p in parts) else None
-        out.append(("name", text[start:end], "", tokens_before(text, start), tokens_after(text, end), seed, parts))
+        left, s = " ".join(before[1:]), shape(v)
+        out.append((start, end, "number", v, [f"dL\t{left}"], [f"dS\t{s}"], [f"dLS\t{left}\t{s}"], seed, True))
+    spans = [(s, e, w, True) for s, e, w in name_spans(text)]
+    if not any(map(str.isupper, text)):
+        spans = [(s, e, [], False) for s, e in windows(text)]
+    for start, end, words, counts in spans:
+        b, a = near.before(start), near.after(end)
+        folded = [fold(w) for w in words]
+        parts = [f for f, w in zip(folded, words) if not w.endswith(".") and len(f) > 1]
+        contexts = [f"n12\t{b[-1]}\t{' '.join(a)}", f"n21\t{' '.join(b)}\t{a[0]}"]
+        out.append((start, end, "name", text[start:end], contexts, [f"nP\t{p}" for p in parts], [], "person_name" if names_address(parts, folded, boxes) else None, counts))
+    taken = []
     for start, end, v in _addresses(text):
-        out.append(("address", v, "", tokens_before(text, start), tokens_after(text, end), "street_address", []))
+        taken.append((start, end))
+        word = STREET.search(v)
+        form = f"aF\t{re.sub(r'[\d \xa0]+', '', word.group()).lower() if word else ''}\t{'0' if v[0].isdigit() else 'w'}"
+        out.append((start, end, "address", v, [f"aLR\t{' '.join(near.before(start))}\t{near.after(end, 1)[0]}"], [form], [], "street_address", True))
+    for m in LOOSE_ADDRESS.finditer(text):
+        start, end, v = m.start(), m.end(), m.group()
+        if all(end <= a or start >= b for a, b in taken):
+            word = re.findall(r"[^\W\d_]+", v)[-1 if v[0].isdigit() else 0].lower()
+            out.append((start, end, "address", v, [f"aLR\t{' '.join(near.before(start))}\t{near.after(end, 1)[0]}"], [f"aF\t{word}\t{'0' if v[0].isdigit() else 'w'}"], [], None, True))
     return out
 
 
-CANDIDATE = "kind string, value string, shape string, before array<string>, after array<string>, seed string, words array<string>"
+PATTERNS = ("contexts", "forms", "both")
+CANDIDATE = "start int, end int, kind string, value string, contexts array<string>, forms array<string>, both array<string>, seed string, counts boolean"
 
 
-def _candidate_table(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [c for t in b["text"] for c in candidates(t)]
-            yield pd.DataFrame(rows, columns=["kind", "value", "shape", "before", "after", "seed", "words"])
-
-    return docs.select("text").mapInPandas(run, CANDIDATE)
+def candidate_table(docs: DataFrame) -> DataFrame:
+    """Candidates of every row of ``docs (__key, text)``, written once: the texts are read and parsed a single time.
 
+    ``row`` tells different texts under one key apart; patterns are hashes of 64 bits.
+    """
 
-def _keys() -> F.Column:
-    """Pattern keys of a candidate: contexts on both sides, left contexts, shapes, left context with shape."""
-    left1, left2 = F.element_at("before", -1), F.array_join("before", " ")
-    right1, right2 = F.element_at("after", 1), F.array_join("after", " ")
-    key = lambda *parts: F.concat_ws("\t", *[F.lit(p) if isinstance(p, str) else p for p in parts])
-    names = F.array(key("12", left1, right2), key("21", left2, right1))
-    numbers = F.array(key("L2", left2), key("S", F.col("shape")), key("LS", left2, F.col("shape")))
-    return F.when(F.col("kind") == "name", names).when(F.col("kind") == "number", numbers).otherwise(F.array(key("L2", left2)))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(k, r, *c) for k, r, t in zip(b["__key"].tolist(), b["row"].tolist(), b["text"].tolist()) for c in candidates(t)]
+            yield pd.DataFrame(rows, columns=["__key", "row", "start", "end", "kind", "value", *PATTERNS, "seed", "counts"])
 
+    kind = dict(docs.dtypes)["__key"]
+    full = spread(docs.where(F.length("text") > 0).select("__key", F.xxhash64("text").alias("row"), "text"), "__key", "row")
+    found = full.mapInPandas(run, f"__key {kind}, row long, {CANDIDATE}")
+    return materialize(found.withColumns({c: F.transform(c, lambda k: F.xxhash64(k)) for c in PATTERNS}), "candidates")
 
-@dataclass
-class Patterns:
-    """Accepted patterns: key -> (type, confidence)."""
 
-    keys: dict[str, tuple[str, float]]
+def lower_bound(hits: Column, n: Column, z: float) -> Column:
+    """Wilson's lower bound of the share ``hits / n``."""
+    p = hits / n
+    return (p + z * z / (2 * n) - z * F.sqrt(F.greatest(F.lit(0.0), p * (1 - p) / n + z * z / (4 * n * n)))) / (1 + z * z / n)
 
 
-def learn(docs: DataFrame, rounds: int = 3, support: int = 3, least: float = 0.5, most: int = 200_000) -> Patterns:
-    """Patterns from the candidates of all texts.
+def learn(found: DataFrame, rounds: int = 3, least: float = 0.2, z: float = 1.28) -> DataFrame:
+    """Patterns ``(key, type, confidence)`` from a candidate table, by rounds over the graph of patterns and entities.
 
-    A pattern's confidence in a type is the share of its candidates that are known entities of the type, unknown ones
-    counting for a third, and it needs ``support`` different values. A candidate becomes known by a pattern of
-    confidence ``least`` or more, the best of its patterns deciding; a name also by a part that stands beside
-    ``support`` different other parts in known names, as given names do. Seeds stay what they are. After ``rounds``
-    rounds the accepted patterns are read by the driver, ``most`` at most.
+    A pattern's confidence in a type is Wilson's lower bound of the share of its different entities that are known to
+    be of the type; all others count in full against it, and below ``least`` it is no pattern. Seeds are known.
+    Any other entity is known to its contexts by one of its forms, and to its forms by one of its contexts, so no
+    pattern can raise itself: contexts and forms have to agree. Shares do not change with the size of the collection,
+    and repeated rows have no effect. Patterns stay a table: there is no bound to their number.
+    """
+    entities = found.where("counts").groupBy(F.xxhash64("kind", F.lower("value")).alias("entity"), *PATTERNS).agg(F.max("seed").alias("seed"))
+    entities = materialize(entities.withColumn("at", F.xxhash64("entity", *PATTERNS)), "entities")
+    none = F.lit(None).cast("struct<confidence:double,type:string>")
+    heard, patterns = entities.select("*", *[none.alias(f"by_{c}") for c in PATTERNS]), None
+    for r in range(rounds):
+        seed = F.when(F.col("seed").isNotNull(), F.struct(F.lit(1.0).alias("confidence"), F.col("seed").alias("type")))
+        known = {c: F.when(F.col(f"by_{c}").isNotNull(), F.struct(F.lit(1.0).alias("confidence"), F.col(f"by_{c}.type"))) for c in PATTERNS}
+        to = {"contexts": F.coalesce(seed, known["forms"]), "forms": F.coalesce(seed, known["contexts"]), "both": F.coalesce(seed, known["forms"], known["contexts"])}
+        edges = heard.select("entity", F.inline(F.concat(*[_with(c, m.alias("said")) for c, m in to.items()])))
+        once = edges.groupBy("key", "entity").agg(F.max("said").alias("said"))
+        sums = [F.sum(F.when(F.col("said.type") == t, F.col("said.confidence")).otherwise(0.0)).alias(t) for t in TYPES]
+        held = once.groupBy("key").agg(F.count("*").cast("double").alias("n"), *sums)
+        best = F.greatest(*[F.struct(F.col(t).alias("hits"), F.lit(t).alias("type")) for t in TYPES])
+        scored = held.select("key", best["type"].alias("type"), lower_bound(best["hits"], F.col("n"), z).alias("confidence"))
+        patterns = materialize(scored.where(F.col("confidence") >= least), "patterns")
+        if r < rounds - 1:
+            open_ = entities.where(F.col("seed").isNull())
+            said = _best(open_, patterns, ["at"])
+            heard = entities.join(said, "at", "left")
+    return patterns
+
+
+def _with(patterns: str, column: Column) -> Column:
+    return F.transform(patterns, lambda k: F.struct(k.alias("key"), column))
+
+
+def _best(rows: DataFrame, patterns: DataFrame, by: list[str]) -> DataFrame:
+    """Per ``by``: the most confident of its contexts, forms and joint patterns, ``by_...`` each."""
+    keys = rows.select(*by, F.inline(F.concat(*[_with(c, F.lit(i).alias("view")) for i, c in enumerate(PATTERNS)])))
+    each = F.struct("confidence", "type")
+    return keys.join(patterns, "key").groupBy(*by).agg(*[F.max(F.when(F.col("view") == i, each)).alias(f"by_{c}") for i, c in enumerate(PATTERNS)])
+
+
+def spans_of(found: DataFrame, patterns: DataFrame, least: float = 0.5) -> DataFrame:
+    """``(__key, row, spans)``: the candidates that their patterns accept, in order and not overlapping.
+
+    A candidate's confidence is that of its context, form or both, each taken as independent evidence, and has to
+    reach ``least``. ``spans`` is ``array<struct<start, end, type, value>>``. Of overlapping ones the more
+    confident, then the longer stays; e-mail addresses go first, then street addresses, then numbers, since names may
+    stand inside them.
     """
-    table = _candidate_table(docs).groupBy("kind", "value", "shape", "before", "after", "words").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
-    table = materialize(table.withColumn("uid", F.xxhash64("kind", "value", "before", "after")).withColumn("type", F.col("seed")), "candidates")
-    patterns = None
-    for _ in range(rounds):
-        names = table.where((F.col("kind") == "name") & F.col("type").isNotNull()).select("value", "words", F.explode("words").alias("part")).where(F.length("part") > 1)
-        given = names.withColumn("other", F.explode("words")).where(F.col("other") != F.col("part")).groupBy("part").agg(F.count_distinct("other").alias("others")).where(F.col("others") >= support)
-        by_part = table.where(F.col("kind") == "name").select("uid", F.explode("words").alias("part")).join(given, "part", "left_semi").select("uid").distinct().withColumn("given", F.lit(True))
-        known = materialize(table.join(by_part, "uid", "left").withColumn("type", F.coalesce("seed", "type", F.when(F.col("given"), F.lit("person_name")))).drop("given"), "known")
-        keyed = known.select("uid", "kind", "value", "type", "n", F.explode(_keys()).alias("key"))
-        per = keyed.groupBy("kind", "key", "type").agg(F.sum("n").alias("n"), F.count_distinct("value").alias("values"))
-        total = per.groupBy("kind", "key").agg((F.sum(F.when(F.col("type").isNotNull(), F.col("n")).otherwise(F.col("n") / 3))).alias("total"))
-        scored = per.where(F.col("type").isNotNull() & (F.col("values") >= support)).join(total, ["kind", "key"]).withColumn("confidence", F.col("n") / F.col("total")).where(F.col("confidence") >= least)
-        patterns = materialize(scored.groupBy("kind", "key").agg(F.max(F.struct("confidence", "type")).alias("p")).select("kind", "key", "p.confidence", "p.type"), "patterns")
-        best = keyed.select("uid", "kind", "key").join(patterns, ["kind", "key"]).groupBy("uid").agg(F.max(F.struct("confidence", "type"))["type"].alias("by_pattern"))
-        table = materialize(known.join(best, "uid", "left").withColumn("type", F.coalesce("seed", "by_pattern", F.when(F.col("kind") == "name", F.lit(None).cast("string")))).drop("by_pattern"), "candidates")
-    rows = patterns.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} patterns; ask for more support")
-    return Patterns({f"{r['kind']}\t{r['key']}": (r["type"], r["confidence"]) for r in rows})
-
-
-class Extractor:
-    def __init__(self, patterns: Patterns) -> None:
-        self.keys = patterns.keys
-        contexts: dict[str, list[tuple[list[str], list[str]]]] = {}
-        for key in self.keys:
-            kind, how, *rest = key.split("\t")
-            if kind == "name" and len(rest) == 2:
-                left, right = rest[0].split(" "), rest[1].split(" ")
-                if left[-1] not in ("^", "\n", "|", ",") and left[-1][0].isalpha():
-                    contexts.setdefault(left[-1], []).append((left, right))
-        self.lefts = contexts
-        words = sorted(map(re.escape, contexts), key=len, reverse=True)
-        self.between = re.compile(rf"(?<![\w.-])(?:{'|'.join(words)})\s+((?:{NAME_PART}[ \xa0]{{1,2}}){{1,2}}[^\W\d_]+(?:[-’'][^\W\d_]+)*)(?![\w@])", re.I) if words else None
-
-    def _name(self, text: str, start: int, end: int) -> float:
-        b, a = tokens_before(text, start), tokens_after(text, end)
-        keys = ("\t".join(("name", "12", b[-1], " ".join(a))), "\t".join(("name", "21", " ".join(b), a[0])))
-        return max(self.keys.get(k, ("", 0.0))[1] for k in keys)
-
-    def __call__(self, text: str) -> list[tuple[int, int, str]]:
-        """Spans ``(start, end, type)`` of personal data, in order, not overlapping."""
-        found: list[tuple[int, int, str, float]] = [(a, b, "email", 3.0) for a, b in _emails(text)]
-        mails = [(a, b) for a, b, _, _ in found]
-        for start, end, _ in _addresses(text):
-            found.append((start, end, "street_address", 2.0))
-        for start, end, v in numbers(text, mails):
-            b = tokens_before(text, start)
-            left, s = " ".join(b), shape(v)
-            keys = [f"number\tLS\t{left}\t{s}", f"number\tL2\t{left}", f"number\tS\t{s}"]
-            seed = next((t for t, r in STRICT.items() if r.fullmatch(v)), None)
-            got = max(((c, t) for k in keys for t, c in [self.keys.get(k, ("", 0.0))] if t), default=None)
-            if seed or got:
-                found.append((start, end, seed or got[1], 1.5))
-        spans = [(s, e) for s, e, _ in name_spans(text)]
-        if self.between:
-            at = 0
-            while m := self.between.search(text, at):
-                at = m.start(1)
-                words = [(x.start() + at, x.end() + at) for x in re.finditer(r"\S+", m.group(1))]
-                while words and text[words[0][0] : words[0][1]].rstrip(".").lower() in TITLES:
-                    words.pop(0)
-                spans += [(words[0][0], e) for _, e in words[1:]] if len(words) > 1 else []
-        head = re.match(rf"\s*({NAME_PART}(?:,?[ \xa0]{{1,2}}{NAME_PART}){{1,2}})(?=\s*(?:\n| \||$))", text)
-        if head:
-            spans.append(head.span(1))
-        scored = [(s, e, self._name(text, s, e)) for s, e in set(spans)]
-        found += [(s, e, "person_name", c) for s, e, c in scored if c]
-        out: list[tuple[int, int, str]] = []
-        for s, e, t, _ in sorted(found, key=lambda x: (-x[3], x[0] - x[1])):
-            if all(e <= a or s >= b for a, b, _ in out):
-                out.append((s, e, t))
-        return sorted(out)
-
-
-def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
+    rank = F.when(F.col("kind") == "email", 3.0).when(F.col("kind") == "address", 2.0).when(F.col("kind") == "number", 1.0).otherwise(0.0)
+    place = ["__key", "row", "start", "end", "kind", "value"]
+    held = _best(found.where(F.col("seed").isNull()), patterns, place)
+    best = F.greatest(*[f"by_{c}" for c in PATTERNS])
+    doubt = F.lit(1.0)
+    for c in PATTERNS:
+        doubt = doubt * F.when(F.col(f"by_{c}.type") == best["type"], 1 - F.col(f"by_{c}.confidence")).otherwise(1.0)
+    accepted = held.select(*place, (1 - doubt).alias("confidence"), best["type"].alias("type")).where(F.col("confidence") >= least)
+    strict = found.where(F.col("seed").isNotNull()).select(*place, F.lit(1.0).alias("confidence"), F.col("seed").alias("type"))
+    taken = accepted.unionByName(strict).groupBy(*place).agg(F.max(F.struct("confidence", "type")).alias("best"))
+    one = F.struct((-(rank + F.col("best.confidence"))).alias("order"), (F.col("start") - F.col("end")).alias("size"), "start", "end", F.col("best.type").alias("type"), "value")
+    rows = taken.groupBy("__key", "row").agg(F.array_sort(F.collect_list(one)).alias("all"))
+    kept = F.aggregate("all", F.slice("all", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])), acc).otherwise(F.concat(acc, F.array(x))))
+    return rows.select("__key", "row", F.array_sort(F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["type"].alias("type"), x["value"].alias("value")))).alias("spans"))
+
+
+def redacted(text: Column, spans: Column) -> Column:
     """The text with a typed placeholder in place of each span, all else unchanged."""
-    out, at = [], 0
-    for s, e, t in spans:
-        out += [text[at:s], f"[{t.upper()}]"]
-        at = e
-    return "".join([*out, text[at:]])
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
+    def step(acc: Column, x: Column) -> Column:
+        piece = F.concat(acc["out"], text.substr(acc["at"] + 1, x["start"] - acc["at"]), F.lit("["), F.upper(x["type"]), F.lit("]"))
+        return F.struct(piece.alias("out"), x["end"].alias("at"))
 
-def find(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """``(key, pii_type, pii_text)`` of each different piece of personal data, and ``(key, text)`` redacted.
+    done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, done).otherwise(text)
 
-    Rows with a null key are dropped; null and empty texts have no pieces, and stay as they are in the second table.
-    Repeated rows count once there and in the patterns.
-    """
-    docs = df.select(F.col(key).alias("__key"), F.col(text).alias("text")).where(F.col("__key").isNotNull()).distinct()
-    full = docs.where(F.length("text") > 0)
-    shared = df.sparkSession.sparkContext.broadcast(learn(full))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        extract = Extractor(shared.value)
-        for b in batches:
-            rows = [(k, t, extract(t) if t else []) for k, t in zip(b["__key"].tolist(), b["text"].tolist())]
-            yield pd.DataFrame({"__key": [r[0] for r in rows], "found": [[{"pii_type": y, "pii_text": t[s:e]} for s, e, y in spans] for _, t, spans in rows], "redacted": [redact(t, spans) if t else t for _, t, spans in rows]})
+def _docs(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.select(F.col(key).alias("__key"), F.col(text).alias("text")).where(F.col("__key").isNotNull())
+
 
-    done = docs.mapInPandas(run, f"__key {dict(df.dtypes)[key]}, found array<struct<pii_type:string,pii_text:string>>, redacted string")
-    pieces = done.select(F.col("__key").alias(key), F.inline("found")).distinct()
-    return pieces, done.select(F.col("__key").alias(key), F.col("redacted").alias(text))
+def find(df: DataFrame, key: str, text: str, patterns: DataFrame | None = None) -> DataFrame:
+    """``(key, pii_type, pii_text)`` of each different piece of personal data.
+
+    ``patterns`` are those learned from another collection (``learn``); without them they are learned from this one.
+    Rows with a null key are dropped; null and empty texts have no pieces. Repeated rows count once here and in
+    the patterns.
+    """
+    found = candidate_table(_docs(df, key, text))
+    spans = spans_of(found, learn(found) if patterns is None else patterns)
+    return spans.select(F.col("__key").alias(key), F.explode("spans").alias("s")).select(key, F.col("s.type").alias("pii_type"), F.col("s.value").alias("pii_text")).distinct()
+
+
+def redact(df: DataFrame, key: str, text: str, patterns: DataFrame | None = None) -> DataFrame:
+    """``(key, text)`` with typed placeholders, each different row once; null and empty texts stay as they are."""
+    docs = _docs(df, key, text)
+    found = candidate_table(docs)
+    spans = spans_of(found, learn(found) if patterns is None else patterns)
+    rows = docs.distinct().withColumn("row", F.xxhash64("text")).join(spans, ["__key", "row"], "left")
+    return rows.select(F.col("__key").alias(key), redacted(F.col("text"), F.coalesce("spans", F.array().cast("array<struct<start:int,end:int,type:string,value:string>>"))).alias(text))

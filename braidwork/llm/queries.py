@@ -55,11 +55,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal.find(table(spark, sf_dir, "cv_data"), "cv_id", "text")[0]
+    return personal.find(table(spark, sf_dir, "cv_data"), "cv_id", "text")
 
 
 def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal.find(table(spark, sf_dir, "cv_data"), "cv_id", "text")[1]
+    return personal.redact(table(spark, sf_dir, "cv_data"), "cv_id", "text")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
