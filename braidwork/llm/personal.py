@@ -257,7 +257,7 @@ def lower_bound(hits: Column, n: Column, z: float) -> Column:
     return (p + z * z / (2 * n) - z * F.sqrt(F.greatest(F.lit(0.0), p * (1 - p) / n + z * z / (4 * n * n)))) / (1 + z * z / n)
 
 
-def learn(found: DataFrame, rounds: int = 3, least: float = 0.2, z: float = 1.28) -> DataFrame:
+def learn(found: DataFrame, rounds: int = 4, least: float = 0.2, z: float = 1.6) -> DataFrame:
     """Patterns ``(key, type, confidence)`` from a candidate table, by rounds over the graph of patterns and entities.
 
     A pattern's confidence in a type is Wilson's lower bound of the share of its different entities that are known to
