@@ -1,9 +1,10 @@
-"""Filling fixed-capacity containers with items (problem 7): best fit over the length histogram."""
+"""Filling fixed-capacity containers with items (problem 7): shortest-pack-first over the length histogram."""
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -13,43 +14,46 @@ from pyspark.sql import functions as F
 from braidwork.operators.distributed import blocks_for
 
 
-def pack_histogram(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Packing patterns ``(lengths, times)`` for a histogram of lengths of 1..capacity.
+def pack_histogram(counts: dict[int, int], capacity: int, depth: int | None = None) -> list[tuple[tuple[int, ...], int]]:
+    """Packing patterns ``(lengths, times)`` for a histogram of lengths of 1..capacity, shortest pack first.
 
-    Lengths are placed longest first. A length goes into the open pattern with the least room that still takes
-    it; of a pattern that occurs more often than there are items left, only as many are changed. What fits
-    nowhere opens new patterns. Work and result depend on the number of different lengths, not of items.
+    Lengths are placed longest first. The next item goes into the open pack with the shortest sum, that is the most
+    room, if that takes it; a pattern that occurs many times takes one item each, and of one that occurs more often than
+    there are items left only as many are changed. What the roomiest pack does not take opens new packs. A pack of
+    ``depth`` items is closed. Work and result depend on the number of different lengths and patterns, not of items.
     """
     room: dict[int, list[list]] = defaultdict(list)  # room left -> [[lengths, times], ...]
-    rooms: set[int] = set()
+    heap: list[int] = []
+    done: list[tuple[tuple[int, ...], int]] = []
+
+    def put(lengths: tuple[int, ...], times: int, r: int) -> None:
+        if not r or depth and len(lengths) >= depth:
+            done.append((lengths, times))
+            return
+        if not room[r]:
+            heappush(heap, -r)
+        room[r].append([lengths, times])
+
     for length in sorted(counts, reverse=True):
         left = counts[length]
         while left > 0:
-            fit = min((r for r in rooms if r >= length), default=None)
-            if fit is None:
-                times_each = capacity // length  # whole containers of this length alone, then one with the rest
-                whole, rest = divmod(left, times_each)
-                for lengths, times in (((length,) * times_each, whole), ((length,) * rest, 1 if rest else 0)):
-                    if times:
-                        r = capacity - sum(lengths)
-                        room[r].append([lengths, times])
-                        rooms.add(r)
-                left = 0
-                continue
-            lengths, times = room[fit][-1]
-            each = min(fit // length, left)
-            changed = min(times, left // each)
-            if changed == times:
-                room[fit].pop()
-                if not room[fit]:
-                    rooms.discard(fit)
-            else:
-                room[fit][-1][1] = times - changed
-            r = fit - each * length
-            room[r].append([(*lengths, *((length,) * each)), changed])
-            rooms.add(r)
-            left -= changed * each
-    return [(tuple(lengths), times) for r in sorted(room) for lengths, times in room[r]]
+            most = -heap[0] if heap else 0
+            if most < length:
+                each = min(capacity // length, depth or capacity)
+                whole, rest = divmod(left, each)
+                for n, times in ((each, whole), (rest, 1)):
+                    if n and times:
+                        put((length,) * n, times, capacity - n * length)
+                break
+            lengths, times = room[most].pop()
+            if times > left:
+                room[most].append([lengths, times - left])
+            elif not room[most]:
+                heappop(heap)
+            changed = min(times, left)
+            put((*lengths, length), changed, most - length)
+            left -= changed
+    return done + [(tuple(lengths), times) for r in sorted(room) for lengths, times in room[r]]
 
 
 def _slots(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -66,13 +70,13 @@ def _slots(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.
     return a[:, 0], a[:, 1], a[:, 2], a[:, 3]
 
 
-def pack(items: DataFrame, item_id: str, size: str, capacity: int, total: int | None = None) -> DataFrame:
+def pack(items: DataFrame, item_id: str, size: str, capacity: int, total: int | None = None, depth: int | None = None) -> DataFrame:
     """``item_id, part_no, part_size, container_no, slot`` for every item of ``size`` 1 or more.
 
     An item longer than ``capacity`` is split into parts of ``capacity`` and one with the rest (``part_no`` counts
     from 0); no other item is split. Sizes that are null, 0 or negative take no room and have no row. Items with
     the same id and size are packed once each per row given: pass distinct items. The driver sees only the
-    histogram of part sizes, which has at most ``capacity`` rows.
+    histogram of part sizes, which has at most ``capacity`` rows. ``depth`` bounds the items of a container.
 
     Items are numbered within their length by blocks of ids, so that a length shared by a third of all items is
     numbered by many tasks.
@@ -89,7 +93,7 @@ def pack(items: DataFrame, item_id: str, size: str, capacity: int, total: int |
     parts = parts.withColumn("__sub", F.pmod(F.xxhash64("__id", "part_no"), F.lit(sub)).cast("int"))
     per_block = parts.groupBy("part_size", "__sub").agg(F.count("*").alias("__n"))
     histogram = {r["part_size"]: r["n"] for r in per_block.groupBy("part_size").agg(F.sum("__n").alias("n")).collect()}
-    length, rank, container, slot = _slots(pack_histogram(histogram, capacity))
+    length, rank, container, slot = _slots(pack_histogram(histogram, capacity, depth))
     before = Window.partitionBy("part_size").orderBy("__sub").rowsBetween(Window.unboundedPreceding, -1)
     bases = per_block.select("part_size", "__sub", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
     inside = Window.partitionBy("part_size", "__sub").orderBy("__id", "part_no")

@@ -22,6 +22,34 @@ def test_histogram_is_packed_whole(counts):
     assert used == counts
 
 
+def plain(counts, capacity, depth=None):
+    """Item by item: the longest first, into the pack with the most room if that takes it."""
+    packs: list[list[int]] = []
+    for x in sorted((x for x, n in counts.items() for _ in range(n)), reverse=True):
+        open_ = [p for p in packs if sum(p) < capacity and (not depth or len(p) < depth)]
+        best = min(open_, key=sum, default=None)
+        if best is None or sum(best) + x > capacity:
+            packs.append([x])
+        else:
+            best.append(x)
+    return sorted(map(tuple, packs))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.integers(1, 30), st.integers(1, 25), max_size=12), st.sampled_from([None, 1, 2, 3]))
+def test_same_sums_as_item_by_item(counts, depth):
+    got = K.pack_histogram(counts, 30, depth)
+    assert not depth or max((len(p) for p, _ in got), default=0) <= depth
+    packs = plain(counts, 30, depth)
+    assert sum(n for _, n in got) == len(packs)
+    if not depth:
+        assert sorted(sum(p) for p, n in got for _ in range(n)) == sorted(map(sum, packs))
+
+
+def test_the_shortest_pack_comes_first():
+    assert sorted(K.pack_histogram({6: 1, 5: 1, 3: 1}, 10)) == [((5, 3), 1), ((6,), 1)]
+
+
 def test_containers(spark):
     rng = random.Random(1)
     sizes = [rng.choice([17, 17, 17, rng.randint(1, 100), rng.randint(100, 350)]) for _ in range(4000)] + [None, 0, -3]
