@@ -67,11 +67,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_weighted_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return consensus.truth_discovery(table(spark, sf_dir, "annotations"))[0].select("cv_id", "vacancy_id", "n_votes", "mean_rank", "consensus_rank")
+    return consensus.truth_discovery(table(spark, sf_dir, "annotations"))[0].select("cv_id", "vacancy_id", "n_votes", F.round("mean_rank", 6).alias("mean_rank"), "consensus_rank")
 
 
 def p6_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return consensus.truth_discovery(table(spark, sf_dir, "annotations"))[1]
+    found = consensus.truth_discovery(table(spark, sf_dir, "annotations"))[1]
+    return found.select("annotator", "n_votes", *[F.round(c, 6).alias(c) for c in ("squared_error", "variance_bound", "weight")])
 
 
 def p6_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,6 +125,19 @@ v AS (SELECT r.cv_id, r.annotator, r.vacancy_id, r.rank_no FROM r JOIN n USING (
 c AS (SELECT * FROM v WHERE cv_id IN (SELECT cv_id FROM v GROUP BY 1 HAVING count(DISTINCT annotator) >= 2))
 """
 
+def _rounds(n: int) -> str:
+    """The rounds of the weighted consensus, unrolled: votes ``v``, truth ``t`` and annotators ``a`` of each."""
+    out = []
+    for i in range(n + 1):
+        votes = "SELECT *, 1.0::DOUBLE AS w FROM c" if not i else f"SELECT c.*, a{i - 1}.w FROM c JOIN a{i - 1} USING (annotator)"
+        out.append(f"""
+v{i} AS MATERIALIZED ({votes}),
+t{i} AS MATERIALIZED (SELECT cv_id, vacancy_id, sum(w * rank_no) AS sr, sum(w) AS sw, count(*) AS n FROM v{i} GROUP BY ALL),
+e{i} AS (SELECT annotator, count(*) AS n, coalesce(sum(pow(rank_no - CASE WHEN t.n > 1 THEN (sr - w * rank_no) / nullif(sw - w, 0) END, 2)), 0) AS e FROM v{i} v JOIN t{i} t USING (cv_id, vacancy_id) GROUP BY ALL),
+a{i} AS MATERIALIZED (SELECT annotator, n, e, greatest(e, 0.001) / (n * pow(greatest(1e-6, 1 - 2 / (9 * n::DOUBLE) - 1.959963984540054 * sqrt(2 / (9 * n::DOUBLE))), 3)) AS b, 1 / b AS w FROM e{i})""")
+    return ", ".join(out)
+
+
 def _shingles(table_name: str, key: str, text: str) -> str:
     """One row per record and distinct run of three words, with the size of the record's set."""
     return f"""SELECT DISTINCT '{table_name}' AS record_table, {key} AS id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s
@@ -143,6 +157,9 @@ last AS (SELECT cv_id, vacancy_id, total_score FROM ok QUALIFY row_number() OVER
 best AS (SELECT cv_id, vacancy_id, CAST(row_number() OVER (PARTITION BY cv_id ORDER BY total_score DESC, vacancy_id) AS INTEGER) AS place FROM last)
 SELECT cv_id, place, vacancy_id FROM best WHERE place <= 3""",
     "p6_found": _COUNTING + ", m AS (SELECT cv_id, vacancy_id, avg(rank_no) AS a FROM c GROUP BY ALL) SELECT cv_id, vacancy_id, CAST(row_number() OVER (PARTITION BY cv_id ORDER BY a, vacancy_id DESC) AS INTEGER) AS consensus_rank FROM m",
+    "p6_weighted_consensus": _COUNTING + "," + _rounds(6) + """
+SELECT cv_id, vacancy_id, n AS n_votes, round(sr / sw, 6) AS mean_rank, CAST(row_number() OVER (PARTITION BY cv_id ORDER BY round(sr / sw, 9), vacancy_id DESC) AS INTEGER) AS consensus_rank FROM t6""",
+    "p6_reliability": _COUNTING + "," + _rounds(6) + " SELECT annotator, n AS n_votes, round(e, 6) AS squared_error, round(b, 6) AS variance_bound, round(w, 6) AS weight FROM a6",
     "p6_agreement": _COUNTING + """, s AS (SELECT cv_id, vacancy_id, sum(rank_no) AS r, count(*) AS m FROM c GROUP BY ALL)
 SELECT cv_id, max(m) AS n_annotators, round(12 * var_pop(r) * count(*) / (pow(max(m), 2) * (pow(count(*), 3) - count(*))), 6) AS kendall_w FROM s GROUP BY cv_id""",
 }

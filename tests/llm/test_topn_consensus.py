@@ -31,6 +31,41 @@ def test_top_n_outside_the_range_and_with_ties(spark):
     assert got == {("a", 1, 1), ("a", 2, 2), ("b", 1, 7), ("b", 2, 8)}
 
 
+def test_hot_groups_with_equal_scores(spark):
+    """One group has half of all rows, most of them with the highest score; nothing is lost in any salt."""
+    rng = random.Random(8)
+    rows = [(0 if i % 2 else rng.randint(1, 400), rng.choice([99.5, 99.5, rng.random() * 100]), i) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "g long, s double, t long")
+    counts = df.groupBy(df.g.alias("__g")).count().withColumnRenamed("count", "__n")
+    hot = {r["__g"]: r["__salts"] for r in T.hot_groups(counts, share=100).collect()}
+    assert hot == {0: 51}
+    want = set()
+    for g in {r[0] for r in rows}:
+        want |= {(g, p, t) for p, (_, t) in enumerate(sorted((-s, t) for h, s, t in rows if h == g)[:4], 1)}
+    assert {(r.g, r.place, r.t) for r in T.top_n(df, "g", "s", ["t"], 4).collect()} == want
+
+
+def test_long_tail_and_careless_annotators(spark):
+    """Three careless annotators of five outvote the careful in the plain mean; a newcomer with few ballots gets little weight."""
+    rng = random.Random(4)
+    rows, n = [], 0
+    for cv in range(300):
+        for a in (1, 2, 11, 12, 13, *([30] if cv < 2 else [])):
+            order = [1, 2, 3, 4, 5]
+            if a in (11, 12, 13):
+                rng.shuffle(order)
+            n += 1
+            rows += [(n, a, cv, v, r, "2024-01-01") for v, r in enumerate(order, 1)]
+    a = spark.createDataFrame(rows, "ballot_id long, annotator int, cv_id long, vacancy_id long, rank_no int, annotated_at string")
+    right = lambda t: t.where("consensus_rank = vacancy_id").count()
+    truth, weights, _ = A.truth_discovery(a)
+    by = {r.annotator: r for r in weights.collect()}
+    w = {k: r.weight for k, r in by.items()}
+    assert min(w[1], w[2]) > 5 * max(w[11], w[12], w[13])
+    assert w[30] < 0.5 * by[30].n_votes / max(by[30].squared_error, 1e-3) and w[1] > 0.8 * by[1].n_votes / max(by[1].squared_error, 1e-3)
+    assert right(truth) > 0.97 * 1500 > right(A.plain_consensus(a))
+
+
 def ballots(cvs=80, annotators=6, seed=1):
     rng = random.Random(seed)
     rows, n = [], 0
