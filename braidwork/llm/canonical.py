@@ -6,103 +6,19 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import combinations, product
+from math import prod
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Other names that a reference list may lack. Common knowledge of the trade, canonical name first.
-KNOWN_NAMES = {
-    "skill": """
-javascript: js, java script, ecmascript, es6, javascript es6, vanilla js
-typescript: ts, type script, typed javascript
-python: py, cpython, python programming
-java: jdk, java se, java ee, j2ee, jvm, openjdk, core java
-kotlin: kotlin lang, kotlin language
-c++: cpp, c plus plus, cplusplus, modern c++, c++ programming
-c#: csharp, c sharp, c# programming
-golang: go, go lang, go language, go programming
-ruby on rails: ror, rails, rubyonrails, ruby rails
-scala: scala lang, scala language
-postgresql: postgres, postgre sql, pgsql, psql, postgre, postgresql database
-mongodb: mongo, mongo db, mongodb atlas
-mysql: my sql, mysql database
-elasticsearch: elastic, elastic search, elk
-kubernetes: k8s, kube, kubernetes k8s, k8
-docker: docker engine, docker containers, docker container, docker compose
-terraform: hashicorp terraform, terraform iac, tf
-amazon web services: aws, amazon aws, aws cloud, amazon cloud
-google cloud platform: gcp, g.c.p., google cloud, google gcp
-microsoft azure: azure, ms azure, azure cloud
-react: reactjs, react.js, react js
-angular: angularjs, angular.js, angular js
-vue.js: vue, vuejs, vue js
-spring boot: springboot, spring framework
-hibernate: hibernate orm
-django: django rest, django rest framework, django framework
-fastapi: fast api, fast-api
-asp.net core: aspnetcore, asp net core, asp.net, dotnet core, .net core
-graphql: graph ql, graphql api, graphql apis
-rest api design: rest, rest api, rest apis, restful api, restful apis, restful services
-apache kafka: kafka, kafka streams, kafka broker
-rabbitmq: rabbit mq, rabbit
-continuous integration: ci, ci/cd, cont. integration, ci cd
-test automation: automated testing, automation of tests, automated tests
-unit testing: unit tests, unit test, unittests
-machine learning: ml, m.l.
-data modelling: data modeling, modelling of data, modeling of data, data models
-apache spark: spark, spark sql, pyspark
-apache airflow: airflow, air flow, airflow dags
-linux administration: linux, linux admin, administration of linux
-version control with git: git, git scm, git version control
-agile methods: agile, agile scrum, agile / scrum, agile working, agile methodology
-project management: pm, project mgmt, managing projects, management of projects
-technical writing: tech writing, tech. writing
-business analysis: bus. analysis, analysis business, analysis of business
-network security: netsec, security of networks, net security
-user interface design: ui, ui design, design of user interfaces, user interfaces
-oracle database: oracle db, oracle, oracle dbms
-sql server: mssql, ms sql, ms sql server, microsoft sql server
-selenium webdriver: selenium, selenium wd, selenium web driver
-""",
-    "title": """
-Backend Developer: back end engineer, back end developer, server side developer, server side engineer, backend engineer
-Frontend Developer: front end engineer, front end developer, client side developer, client side engineer, frontend engineer
-Full Stack Developer: fullstack developer, full stack engineer, fullstack engineer
-Mobile Developer: app developer, mobile engineer, mobile app developer, mobile application developer
-Data Engineer: data pipeline engineer, data engineering specialist
-Data Scientist: data science specialist, data science engineer, scientist data
-Data Analyst: data analytics specialist, analyst data, data analysis specialist
-DevOps Engineer: dev ops engineer, devops specialist, engineer devops
-Site Reliability Engineer: sre, reliability engineer site, reliability engineer
-Quality Assurance Engineer: qa engineer, software tester qa, qa tester, software tester, qa specialist, quality engineer
-Test Automation Engineer: sdet, automation test engineer, engineer in test automation, software development engineer in test, engineer test automation
-Database Administrator: dba, db administrator, data base administrator
-Systems Administrator: sysadmin, system administrator, sys administrator, administrator of systems
-Network Engineer: networking engineer, engineer networks
-Security Analyst: infosec analyst, it security analyst, information security analyst, cyber security analyst, analyst security
-Software Architect: sw architect, architect software, architect of software
-Product Manager: manager of product, product owner manager, manager product
-Project Manager: manager projects, manager of projects, manager project
-Scrum Master: agile scrum master, scrummaster
-User Experience Designer: ux designer, ux ui designer, designer user experience, ui ux designer
-Technical Writer: tech writer, writer of technical docs, technical author, writer of technical documents
-Support Engineer: technical support engineer, support specialist engineer, engineer support
-Machine Learning Engineer: ml engineer, engineer ml, engineer machine learning
-Embedded Software Engineer: embedded sw engineer, embedded developer firmware, embedded developer, embedded engineer, firmware engineer
-Game Developer: games developer, video game developer, developer of games
-Business Analyst: analyst business, analyst of business
-Cloud Engineer: cloud infrastructure engineer, engineer cloud
-Release Manager: manager releases, manager of releases, manager release
-Engineering Manager: engineer manager, manager of engineering, manager engineering
-Integration Engineer: systems integration engineer, system integration engineer, engineer integration
-""",
-}
-#: Short forms of single words. Fixed values.
-SHORT_WORDS = {
-    "eng": "engineer", "dev": "developer", "mgr": "manager", "sys": "systems", "admin": "administrator", "tech": "technical", "bus": "business", "cont": "continuous",
-    "mgmt": "management", "sw": "software", "db": "database",
-}
+#: Words that carry no meaning of their own inside a name. Fixed values.
+FUNCTION_WORDS = {"of", "in", "for", "the", "and", "with", "on", "to", "a", "an"}
+#: Endings that forms of one English word differ by, longest first. Fixed values.
+ENDINGS = ("isation", "ization", "ations", "ation", "ators", "ating", "ative", "ated", "ator", "ments", "ment", "ings", "ing", "ions", "ion", "ors", "ers", "ies", "or", "er", "ed", "es", "ful", "y", "s", "e")
+#: How signs are read aloud. Fixed values.
+SIGNS = {"+": " plus ", "#": " sharp "}
 #: Latin letters that Cyrillic and Greek letters look like. Fixed values.
 LOOKALIKES = str.maketrans("аеорсухіјѕһԁԛԝвкмнтАВЕКМНОРСТУХІЈЅΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "aeopcyxijshdqwbkmhtABEKMHOPCTYXIJSABEZHIKMNOPTYXo")
 #: Words on level, place, contract, hours or degree of knowledge, before and after a value. Fixed values.
@@ -128,11 +44,48 @@ def tidy(value: str) -> str:
     return re.sub(r"[\s_]+", " ", v).strip().lower()
 
 
-def plain(value: str) -> str:
-    """Words only: separators to spaces, short forms in full; ``+``, ``#`` and inner dots stay."""
-    v = re.sub(r"[^\w+#. ]+", " ", value)
-    v = re.sub(r"\.(?=\s|$)|(?<=\s)\.(?=\s)", " ", v)
-    return " ".join(SHORT_WORDS.get(w, w) for w in v.split())
+def words_of(value: str) -> list[str]:
+    """The words of a tidy value: separators and outer dots gone; ``+``, ``#`` and inner dots stay."""
+    return [w for w in (x.strip(".") for x in re.sub(r"[^\w+#.]+", " ", value).split()) if w]
+
+
+def joined(value: str) -> str:
+    """The value as one word: whatever separates its parts makes no difference."""
+    return re.sub(r"[^\w+#]+", "", value).replace("_", "")
+
+
+def root(word: str) -> str:
+    """What the forms of a word have in common (test, tests, testing; model, modelling)."""
+    for e in ENDINGS:
+        if word.endswith(e) and len(word) - len(e) >= (3 if e == "s" else 4):
+            word = word[: -len(e)]
+            break
+    return word[:-1] if len(word) > 4 and word[-1] == word[-2] else word
+
+
+def unordered(words: Iterable[str]) -> str:
+    """Words without function words, by their roots, in alphabetical order: a path that is free of word order."""
+    return " ".join(sorted(root(w) for w in words if w not in FUNCTION_WORDS))
+
+
+def abbreviates(short: str, word: str) -> bool:
+    """Whether ``short`` is a beginning of ``word``, or its letters in order from the first consonants on."""
+    if len(short) < 2 or len(short) >= len(word) or short[0] != word[0]:
+        return False
+    if len(short) >= 3 and word.startswith(short):
+        return True
+    at = 0
+    for c in word:
+        if at < len(short) and c == short[at]:
+            at += 1
+    return at == len(short) and not any(c in "aeiou" for c in short[1:])
+
+
+def initials(words: list[str]) -> Iterator[str]:
+    """Names with the first letters of all or of the first words in place of them (``sre``, ``ml engineer``)."""
+    words = [w for w in words if w not in FUNCTION_WORDS]
+    for n in range(2, len(words) + 1):
+        yield " ".join(("".join(w[0] for w in words[:n]), *words[n:]))
 
 
 def bare(value: str) -> str:
@@ -145,142 +98,235 @@ def bare(value: str) -> str:
 
 
 class Trie:
-    """Names by their letters, each with the entry that it leads to and the edits it allows."""
+    """Paths by their letters, each with the entry that it leads to, the edits it allows and how far it is derived."""
 
     def __init__(self) -> None:
         self.next: list[dict[str, int]] = [{}]
-        self.ends: list[list[tuple[int, int, bool]]] = [[]]
+        self.ends: list[list[tuple[int, int, int]]] = [[]]
 
-    def add(self, name: str, entry: int, edits: int, alias: bool) -> None:
+    def add(self, path: str, entry: int, edits: int, rank: int) -> None:
         node = 0
-        for c in name:
+        for c in path:
             if c not in self.next[node]:
                 self.next[node][c] = len(self.next)
                 self.next.append({})
                 self.ends.append([])
             node = self.next[node][c]
-        self.ends[node].append((entry, edits, alias))
+        if all(e != entry or r > rank or d < edits for e, d, r in self.ends[node]):
+            self.ends[node].append((entry, edits, rank))
 
-    def search(self, word: str, most: int) -> list[tuple[int, bool, int]]:
-        """All ``(distance, alias, entry)`` of names within their allowed edits of ``word``, at most ``most``.
+    def search(self, word: str, most: int) -> list[tuple[int, int, int]]:
+        """All ``(distance, rank, entry)`` of paths within their allowed edits of ``word``, at most ``most``.
 
-        The trie is walked with the states of the word's Levenshtein automaton: the edits needed so far against
-        each prefix of the word, an exchange of neighbours being one edit. A branch ends when all exceed ``most``.
+        The trie is walked with the states of the word's Levenshtein automaton, an exchange of neighbours being one
+        edit. The states with 0, 1, .. edits are the bits of one number each (bit i: i letters of the word are read),
+        so that a step is a few operations on whole numbers. A branch ends when no state is left.
         """
-        found: list[tuple[int, bool, int]] = []
-        n = len(word)
-        stack = [(0, list(range(n + 1)), None, "")]
+        n, found = len(word), []
+        full = (1 << (n + 1)) - 1
+        letters: dict[str, int] = {}
+        for i, c in enumerate(word):
+            letters[c] = letters.get(c, 0) | 1 << i
+        first = [(1 << (d + 1)) - 1 & full for d in range(most + 1)]
+        stack = [(0, first, [0] * (most + 1))]
         while stack:
-            node, row, above, last = stack.pop()
-            for entry, edits, alias in self.ends[node]:
-                if row[n] <= min(edits, most):
-                    found.append((row[n], alias, entry))
+            node, states, swaps = stack.pop()
+            if self.ends[node]:
+                distance = next((d for d, s in enumerate(states) if s >> n & 1), None)
+                if distance is not None:
+                    found += [(distance, rank, entry) for entry, edits, rank in self.ends[node] if distance <= edits]
             for c, child in self.next[node].items():
-                new = [row[0] + 1]
-                for j in range(1, n + 1):
-                    w = word[j - 1]
-                    best = row[j - 1] + (w != c)
-                    if row[j] + 1 < best:
-                        best = row[j] + 1
-                    if new[j - 1] + 1 < best:
-                        best = new[j - 1] + 1
-                    if above is not None and j > 1 and w == last and word[j - 2] == c and above[j - 2] + 1 < best:
-                        best = above[j - 2] + 1
-                    new.append(best)
-                if min(new) <= most:
-                    stack.append((child, new, row, c))
+                s = letters.get(c, 0)
+                new, swapping = [(states[0] & s) << 1], [0]
+                for d in range(1, most + 1):
+                    before = states[d - 1]
+                    new.append(((states[d] & s) << 1 | before << 1 | before | new[d - 1] << 1 | (swaps[d] & s) << 2) & full)
+                    swapping.append(before & s >> 1)
+                if any(new):
+                    stack.append((child, new, swapping))
         return found
 
 
-def allowed_edits(name: str, alias: bool) -> int:
-    """Edits that a name allows: none for the shortest, 1 up to seven letters, 2 beyond."""
-    n = len(name)
-    return 0 if n < (5 if alias else 4) else 1 if n < 8 else 2
+def allowed_edits(path: str) -> int:
+    """Edits that a path allows: none up to four letters, 1 up to seven, 2 beyond."""
+    n = len(path)
+    return 0 if n < 5 else 1 if n < 8 else 2
+
+
+#: How a path was derived from an entry; at equal distance the lower one wins.
+NAME, OTHER, ORDER, SHORT, LIKE, WIDER = range(6)
+
+
+def optional_parts(entries: list[tuple[int, str, Iterable[str]]]) -> tuple[set[str], set[str], dict[str, set[str]]]:
+    """What the entries' own other names show to be optional before or behind a name, and which words stand for another.
+
+    ``golang: go`` shows that *lang* may be missing behind a name, ``apache kafka: kafka`` the same of *apache* in front,
+    ``Backend Developer: Back End Engineer`` that an engineer may be a developer.
+    """
+    front, behind, alike = set(), set(), {}
+    for _, name, others in entries:
+        long, words = joined(tidy(name)), words_of(tidy(name))
+        for other in others or ():
+            short, own = joined(tidy(other)), words_of(tidy(other))
+            if len(short) > 1 and len(long) - len(short) > 1:
+                if long.startswith(short):
+                    behind.add(long[len(short) :])
+                if long.endswith(short):
+                    front.add(long[: -len(short)])
+            if len(words) > 1 and len(own) > 1 and joined(" ".join(words[:-1])) == joined(" ".join(own[:-1])):
+                alike.setdefault(words[-1], set()).add(own[-1])
+                alike.setdefault(own[-1], set()).add(words[-1])
+    return front, behind, alike
 
 
 class Resolver:
-    """Resolves values of one kind. ``entries``: ``(id, canonical name, other names)``."""
-
-    def __init__(self, entries: Iterable[tuple[int, str, Iterable[str]]], known: str = "") -> None:
-        self.trie = Trie()
-        self.exact: dict[str, tuple[bool, int]] = {}
-        extra: dict[str, list[str]] = {}
-        for line in known.strip().splitlines():
-            name, _, names = line.partition(":")
-            extra[name.strip().lower()] = [x.strip() for x in names.split(",")]
-        for entry, name, others in sorted(entries):
-            paths = {plain(tidy(name)): False, tidy(name): False}
-            for other in (*(others or ()), *extra.get(tidy(name), ())):
-                for p in (tidy(other), plain(tidy(other))):
-                    paths.setdefault(p, True)
-            for path, alias in paths.items():
-                if path:
-                    self.trie.add(path, entry, allowed_edits(path, alias), alias)
-                    for key in (path, path.replace(" ", "")):
-                        self.exact.setdefault(key, (alias, entry))
+    """Resolves values of one kind. ``entries``: ``(id, canonical name, other names)``.
+
+    All paths follow by rule from the entries: each name as one word, its words in any order and form, its initials,
+    its first words, and the name with or without what other entries' names show to be optional. ``joins`` has names
+    as one word, ``sorts`` words in alphabetical order. Derived paths allow no edits and yield to the names themselves.
+    """
+
+    def __init__(self, entries: Iterable[tuple[int, str, Iterable[str]]]) -> None:
+        self.joins, self.sorts = Trie(), Trie()
+        self.vocabulary: set[str] = set()
+        self.named: dict[str, int] = {}
+        entries = sorted(entries)
+        front, behind, alike = optional_parts(entries)
+        first: dict[str, set[int]] = {}
+        for entry, name, others in entries:
+            words = words_of(tidy(name))
+            for n in range(2, len(words)):
+                first.setdefault(" ".join(words[:n]), set()).add(entry)
+            for i, spelling in enumerate((name, *(others or ()))):
+                v = tidy(spelling)
+                path, words = joined(v), words_of(v)
+                if not path:
+                    continue
+                self.joins.add(path, entry, allowed_edits(path) if i == 0 or len(path) > 5 else 0, min(i, OTHER))
+                self.joins.add(joined("".join(SIGNS.get(c, c) for c in v)), entry, 0, LIKE)
+                if len(path) > 2:
+                    self.named.setdefault(path, entry)
+                for x in behind:
+                    self.joins.add(path + x, entry, 0, LIKE)
+                    if path.endswith(x) and len(path) - len(x) > 2:
+                        self.joins.add(path[: -len(x)], entry, 0, LIKE)
+                for x in front:
+                    self.joins.add(x + path, entry, 0, LIKE)
+                    if path.startswith(x) and len(path) - len(x) > 2:
+                        self.joins.add(path[len(x) :], entry, 0, LIKE)
+                if len(words) > 1:
+                    u = unordered(words)
+                    self.sorts.add(u, entry, min(1, allowed_edits(u)), ORDER)
+                    for short in initials(words):
+                        self.joins.add(joined(short), entry, 0, SHORT)
+                        if " " in short:
+                            self.sorts.add(unordered(short.split()), entry, 0, SHORT)
+                    for w in alike.get(words[-1], ()):
+                        self.joins.add(joined(" ".join((*words[:-1], w))), entry, 0, LIKE)
+                        self.sorts.add(unordered((*words[:-1], w)), entry, 0, LIKE)
+                self.vocabulary.update(w for w in words if w not in FUNCTION_WORDS)
+        for start, found in first.items():
+            if len(found) == 1:
+                self.joins.add(joined(start), *found, 0, LIKE)
+        self.extra = {root(w) for w in (*self.vocabulary, *front, *behind)}
         self.resolve = lru_cache(maxsize=1 << 18)(self._resolve)
 
     def _forms(self, value: str) -> Iterator[str]:
         """Spellings to try, the fullest first."""
-        seen = set()
         t = tidy(value)
         b = bare(t)
         shorter = [t, b]
         if PLACE.search(b):
             shorter.append(bare(PLACE.sub("", b)))
-        for v in shorter:
-            for u in (v, VERSION.sub("", v)):
-                for f in (u, plain(u)):
-                    if f and f not in seen:
-                        seen.add(f)
-                        yield f
-
-    def candidates(self, value: str) -> list[tuple[int, bool, int]]:
-        """All ``(distance, alias, entry)`` within reach of any spelling of the value, nearest first."""
-        return sorted(set(x for f in self._forms(value) for x in self.trie.search(f, allowed_edits(f, False))))
+        if "(" in b or "/" in b:  # a remark in brackets, or a choice
+            shorter += [re.sub(r"\([^()]*\)", " ", b).strip(), *(x.strip() for x in b.split("/") if len(x.strip()) > 1)]
+        for v in dict.fromkeys(shorter):
+            yield from dict.fromkeys((v, VERSION.sub("", v)))
+
+    def _expanded(self, words: list[str]) -> Iterator[list[str]]:
+        """The words with abbreviations in full, in all ways (64 at most: a longer value is no name)."""
+        ways = [[w] if w in self.vocabulary or w in FUNCTION_WORDS else [w, *sorted(x for x in self.vocabulary if abbreviates(w, x))] for w in words]
+        if prod(map(len, ways)) <= 64:
+            for way in product(*ways):
+                if list(way) != words:
+                    yield list(way)
+
+    def candidates(self, value: str) -> list[tuple[int, int, int]]:
+        """All ``(distance, rank, entry)`` within reach of any spelling of the value, nearest first."""
+        found: set[tuple[int, int, int]] = set()
+        for f in self._forms(value):
+            path, words = joined(f), words_of(f)
+            if path:
+                found.update(self.joins.search(path, allowed_edits(path)))
+            if 1 < len(words) <= 8:
+                u = unordered(words)
+                found.update(self.sorts.search(u, min(1, allowed_edits(u))))
+                for way in self._expanded(words):
+                    found.update((d, max(rank, SHORT), e) for d, rank, e in (*self.sorts.search(unordered(way), 0), *self.joins.search(joined(" ".join(way)), 0)))
+            elif words:
+                for way in self._expanded(words):
+                    found.update((d, max(rank, SHORT), e) for d, rank, e in self.joins.search(joined(" ".join(way)), 0))
+        for f in () if found else list(self._forms(value))[1:] or [tidy(value)]:
+            words = words_of(f)
+            if not found and 1 < len(words) <= 5:
+                found.update(self._wider(words))
+        return sorted(found)
+
+    def _wider(self, words: list[str]) -> Iterator[tuple[int, int, int]]:
+        """Entries whose names are among the words, the widest names only.
+
+        All other words are words of other names; or one other word stands beside a name of several words, or before or
+        behind a name of one word that is spelled exactly.
+        """
+        spare = [root(w) in self.extra for w in words]
+        for n in range(1, len(words)):
+            found = set()
+            for drop in combinations(range(len(words)), n):
+                rest = [w for i, w in enumerate(words) if i not in drop]
+                known = all(spare[i] for i in drop)
+                if known or n == 1 and len(rest) > 1:
+                    for path in {joined(" ".join(rest)), root(rest[0]) if len(rest) == 1 else ""}:
+                        found.update(e for _, _, e in self.joins.search(path, 0))
+                    for way in (rest, *self._expanded(rest)) if len(rest) > 1 else ():
+                        found.update(e for _, _, e in self.sorts.search(unordered(way), 0))
+                elif n == 1 and rest[0] in self.named:
+                    found.add(self.named[rest[0]])
+            if found:
+                yield from ((0, WIDER, e) for e in found)
+                return
 
     def _resolve(self, value: str) -> int:
-        forms = list(self._forms(value))
-        for f in forms:
-            for key in (f, f.replace(" ", ""), re.sub(r"[ .-]", "", f)):
-                if key in self.exact:
-                    return self.exact[key][1]
         best = self.candidates(value)
         return best[0][2] if best else 0
 
 
-def resolvers(catalog: DataFrame, known: dict[str, str] | None = None, most: int = 200_000) -> dict[str, Resolver]:
-    """A resolver per ``entry_kind``. The list is read by the driver and sent to the tasks: at most ``most`` entries."""
+_LIVE: dict[tuple, Resolver] = {}
+
+
+def catalog_entries(catalog: DataFrame, most: int = 200_000) -> dict[str, list[tuple[int, str, tuple[str, ...]]]]:
+    """The reference list by ``entry_kind``. The driver reads it and sends it to the tasks: more than ``most`` entries are an error."""
     rows = catalog.where(F.col("catalog_id").isNotNull() & F.col("canonical").isNotNull()).select("catalog_id", "entry_kind", "canonical", "other_names").limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"the reference list has more than {most} entries")
-    kinds: dict[str, list] = {}
+    kinds: dict[str, list[tuple[int, str, tuple[str, ...]]]] = {}
     for r in rows:
         kinds.setdefault(r["entry_kind"], []).append((r["catalog_id"], r["canonical"], tuple(x for x in r["other_names"] or () if x)))
-    known = KNOWN_NAMES if known is None else known
-    return {k: Resolver(v, known.get(k, "")) for k, v in kinds.items()}
-
-
-_LIVE: dict[tuple, Resolver] = {}
+    return {k: sorted(v) for k, v in kinds.items()}
 
 
-def resolve_column(value: Column, catalog: DataFrame, kind: str, known: dict[str, str] | None = None) -> Column:
+def resolve_column(value: Column, entries: list[tuple[int, str, tuple[str, ...]]]) -> Column:
     """The id of the entry that each value means (int), 0 for null, blank or unknown values.
 
-    Nearest name first, then canonical before other names, then the lower id. Tasks keep what they have resolved,
+    Nearest name first, then the paths derived least, then the lower id. Tasks keep what they have resolved,
     so a value that repeats costs one lookup.
     """
-    rows = catalog.where((F.col("entry_kind") == kind) & F.col("catalog_id").isNotNull() & F.col("canonical").isNotNull()).select("catalog_id", "canonical", "other_names").limit(200_001).collect()
-    if len(rows) > 200_000:
-        raise ValueError("the reference list has more than 200000 entries")
-    entries = tuple((r["catalog_id"], r["canonical"], tuple(x for x in r["other_names"] or () if x)) for r in rows)
-    names = (KNOWN_NAMES if known is None else known).get(kind, "")
+    key = tuple(entries)
 
     @F.pandas_udf("int")
     def resolve(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        key = (entries, names)
         if key not in _LIVE:
-            _LIVE[key] = Resolver(entries, names)
+            _LIVE[key] = Resolver(key)
         lookup = _LIVE[key].resolve
         for values in batches:
             yield pd.Series([lookup(v) if v else 0 for v in values], dtype="int32")
@@ -295,9 +341,8 @@ def free_values(match_results: DataFrame, vacancies: DataFrame, catalog: DataFra
     rows delivered again, comes once. Unknown values have ``catalog_id`` 0. Canonical names are sorted out in the
     JVM before the arrays are exploded; the distinct rows are shuffled once and resolved where they lie.
     """
-    names: dict[str, list[str]] = {"skill": [], "title": []}
-    for r in catalog.where(F.col("entry_kind").isin("skill", "title") & F.col("canonical").isNotNull()).select("entry_kind", "canonical").limit(200_001).collect():
-        names[r["entry_kind"]].append(r["canonical"])
+    kinds = catalog_entries(catalog)
+    names = {k: [n for _, n, _ in kinds.get(k, [])] for k in ("skill", "title")}
 
     def open_values(array: str) -> Column:
         return F.array_distinct(F.filter(F.coalesce(F.col(array), F.array().cast("array<string>")), lambda v: v.isNotNull() & (v != "") & ~v.isin(names["skill"])))
@@ -308,4 +353,4 @@ def free_values(match_results: DataFrame, vacancies: DataFrame, catalog: DataFra
     fields = F.concat(named("matched_skills"), named("missing_skills"))
     skills = match_results.where(F.col("result_id").isNotNull()).select(F.col("result_id").alias("record_id"), F.inline(fields)).select("field_name", "record_id", "raw_value").distinct()
     titles = vacancies.where(F.col("vacancy_id").isNotNull() & (F.col("job_title") != "") & ~F.col("job_title").isin(names["title"])).select(F.lit("job_title").alias("field_name"), F.col("vacancy_id").alias("record_id"), F.col("job_title").alias("raw_value")).distinct()
-    return skills.withColumn("catalog_id", resolve_column(F.col("raw_value"), catalog, "skill")).unionByName(titles.withColumn("catalog_id", resolve_column(F.col("raw_value"), catalog, "title")))
+    return skills.withColumn("catalog_id", resolve_column(F.col("raw_value"), kinds.get("skill", []))).unionByName(titles.withColumn("catalog_id", resolve_column(F.col("raw_value"), kinds.get("title", []))))

@@ -4,13 +4,13 @@ import pytest
 
 from braidwork.llm import canonical as C
 
-ENTRIES = [(1, "python", ("py",)), (2, "c++", ("cpp",)), (3, "continuous integration", ("ci",)), (4, "react", ()), (5, "apache kafka", ("kafka",))]
+ENTRIES = [(1, "python", ("py",)), (2, "c++", ("cpp",)), (3, "continuous integration", ("ci",)), (4, "react", ()), (5, "apache kafka", ("kafka",)), (6, "vue.js", ("vue",))]
 TITLES = [(7, "Data Engineer", ()), (8, "Software Architect", ()), (9, "Business Analyst", ())]
 
 
 @pytest.fixture(scope="module")
 def skills():
-    return C.Resolver(ENTRIES, C.KNOWN_NAMES["skill"])
+    return C.Resolver(ENTRIES)
 
 
 def osa(a, b):
@@ -28,10 +28,10 @@ def test_trie_search_equals_brute_force():
     names = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(1, 9))) for _ in range(120)})
     t = C.Trie()
     for i, n in enumerate(names):
-        t.add(n, i, C.allowed_edits(n, False), False)
+        t.add(n, i, C.allowed_edits(n), 0)
     for _ in range(300):
         w = "".join(rng.choice("abcd") for _ in range(rng.randint(0, 10)))
-        want = {(osa(w, n), i) for i, n in enumerate(names) if osa(w, n) <= min(C.allowed_edits(n, False), 2)}
+        want = {(osa(w, n), i) for i, n in enumerate(names) if osa(w, n) <= min(C.allowed_edits(n), 2)}
         assert {(d, e) for d, _, e in t.search(w, 2)} == want
 
 
@@ -46,11 +46,21 @@ def test_skills(skills, value, entry):
 
 @pytest.mark.parametrize("value, entry", [("Sr. Data Enginere (m/f/d)", 7), ("JUNIOR ARCHITECT, SOFTWARE, FULL TIME", 8), ("Bus. Analyst - Lorilford", 9), ("analyst (business) (remote)", 9), ("Architect, Software - Fliarville", 8), ("Data Engineer, New Town", 7), ("Landscape Architect", 0), ("Software", 0)])
 def test_titles(value, entry):
-    assert C.Resolver(TITLES, C.KNOWN_NAMES["title"]).resolve(value) == entry
+    assert C.Resolver(TITLES).resolve(value) == entry
 
 
 def test_all_within_distance_are_given(skills):
     assert [e for _, _, e in skills.candidates("pythno")] == [1]
+    near = C.Resolver([(1, "scala", ()), (2, "scale", ()), (3, "scalar", ())])
+    assert {(d, e) for d, _, e in near.candidates("scala")} == {(0, 1), (1, 2), (1, 3)}
+
+
+def test_paths_are_derived_from_the_other_names_of_any_list():
+    """The same kinds of names on a list with other entries: nothing depends on a certain catalogue."""
+    r = C.Resolver([(1, "zorblang", ("zorb",)), (2, "quark", ()), (3, "acme fluxion", ("fluxion",)), (4, "acme grindel", ()), (5, "deep mist analysis", ()), (6, "Tower Keeper", ("Tower Warden",)), (7, "Bridge Keeper", ()), (8, "nix++", ())])
+    wanted = {"quarklang": 2, "quark-lang": 2, "grindel": 4, "acme zorb": 1, "DMA": 5, "analysis of deep mists": 5, "dp. mist analysis": 5, "Bridge Warden": 7, "keeper of bridges": 7, "Senior Brigde Keeper (m/f/d)": 7, "nix plus plus": 8, "quark engine": 2, "fluxion / grid": 3, "deep mist": 5}
+    assert {v: r.resolve(v) for v in wanted} == wanted
+    assert [r.resolve(v) for v in ("quarks bone script", "mist", "gate keeper union", "bridge", "quartz")] == [0, 0, 0, 0, 0]
 
 
 def test_long_values(skills):
