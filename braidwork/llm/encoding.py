@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,7 +18,7 @@ MARKS = "‘’“”„‚–—…•€§°µ±½¼¾®©™≈º²³ª¿¡«
 REPERTOIRE = sorted(set(LATIN + LATIN.upper() + "ŸßŒÆÅØ" + CYRILLIC + CYRILLIC.upper() + MARKS) - set("SẞABCDEFGHIJKLMNOPQRTUVWXYZ"))
 LETTERS = set(LATIN + LATIN.upper() + CYRILLIC + CYRILLIC.upper())
 #: Encodings that UTF-8 is read as, and pairs (written, read) of single-byte encodings. Fixed values.
-READ_AS = ("cp1252", "latin-1", "cp1251", "mac_roman", "cp437", "cp850", "cp866", "koi8-r")
+READ_AS = ("cp1252", "latin-1", "cp1251", "mac_roman", "cp437", "cp850", "cp866", "koi8-r", "cp1250", "iso8859-2", "iso8859-15", "cp1254", "cp852")
 PAIRS = (
     *((w, r) for w in ("cp1252",) for r in ("mac_roman", "cp437", "cp850", "cp1251")),
     ("mac_roman", "cp1252"), ("cp850", "cp1252"), ("cp437", "cp1252"),
@@ -110,6 +111,43 @@ def oddity(token: str) -> int:
     return odd
 
 
+@lru_cache(maxsize=None)
+def byte_automaton():
+    """Automaton of the garbled pairs of letters that sound text does not have, each with the encoding pairs that make it.
+
+    Of every pair of encodings, all two letters in a row of one script are garbled, one of them beyond ASCII at least;
+    what comes out stays if its scripts, cases or signs do not go together (``oddity``), or if both are Latin letters
+    with accents, which sound words seldom have in a row.
+    """
+    import ahocorasick
+
+    foreign = set(LATIN + LATIN.upper())
+    latin, cyrillic = LATIN + LATIN.upper(), CYRILLIC + CYRILLIC.upper()
+    plain = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    made: dict[str, list[int]] = {}
+    for n, back in enumerate(images().values()):
+        m = {c: g for g, c in back.items()}
+        for one, other in ((latin, latin + plain), (plain, latin), (cyrillic, cyrillic), (MARKS, plain), (plain, MARKS)):
+            for x in one:
+                for y in other:
+                    if oddity(x + y) or y.isupper() and x.islower():
+                        continue
+                    g = m.get(x, x if x in plain else "") + m.get(y, y if y in plain else "")
+                    if len(g) == 2 and g != x + y and (oddity(g) or not FOREIGN.isdisjoint(g) or all(c in foreign for c in g)):
+                        known = made.setdefault(g, [])
+                        if not known or known[-1] != n:
+                            known.append(n)
+        for g in FOREIGN.intersection(back):  # proof without a neighbour
+            known = made.setdefault(g, [])
+            if not known or known[-1] != n:
+                known.append(n)
+    a = ahocorasick.Automaton()
+    for g, known in made.items():
+        a.add_word(g, (g, known))
+    a.make_automaton()
+    return a
+
+
 def _russian(word: str) -> float:
     import math
 
@@ -151,13 +189,26 @@ def _utf8_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def _byte_spans(text: str) -> list[tuple[int, int, str]]:
-    """Tokens of one single-byte encoding read as another, with the originals."""
+    """Words of one single-byte encoding read as another, with the originals.
+
+    The automaton's matches name the pairs of encodings that may have made them; of those the one that explains the words
+    around the matches best is taken, and its words are replaced, with those of the same line that it does not worsen.
+    """
+    hits: dict[int, int] = {}
+    ends = []
+    for end, (_, known) in byte_automaton().iter(text):
+        ends.append(end)
+        for n in known:
+            hits[n] = hits.get(n, 0) + 1
+    if not hits:
+        return []
     tokens = [(m.start(), m.end(), m.group()) for m in TOKEN.finditer(text)]
     best: tuple[float, tuple[str, str] | None] = (0.0, None)
     odd = {t: oddity(t) for t in {x[2] for x in tokens}}
-    if not any(odd.values()) and not any(len(t) > 2 and not t[1:].islower() and all(c.lower() in CYRILLIC for c in t) for t in odd):
-        return []  # ordinary words only
-    for pair, m in images().items():
+    pairs = list(images())
+    for n in sorted(hits):
+        pair = pairs[n]
+        m = images()[pair]
         gain = 0.0
         letters_g = letters_r = ""
         for t, o in odd.items():
@@ -183,6 +234,7 @@ def _byte_spans(text: str) -> list[tuple[int, int, str]]:
         return []
     m, spans = images()[best[1]], []
     cyrillic = best[1][0] != "cp1252" and best[1][0] not in ("mac_roman", "cp850", "cp437")
+    breaks = [i for i, c in enumerate(text) if c == "\n"]
     damaged_lines = set()
     fixed = []
     for start, end, t in tokens:
@@ -190,11 +242,12 @@ def _byte_spans(text: str) -> list[tuple[int, int, str]]:
             continue
         r = "".join(m.get(c, c) for c in t)
         sure = (odd[t] and not oddity(r)) or (cyrillic and len(t) > 2 and all(c.lower() in CYRILLIC for c in t + r) and _well_cased(r) and _russian(r) - _russian(t) > 0.35 * len(t))
-        fixed.append((start, end, r, sure, odd[t] >= oddity(r)))
+        line = bisect_left(breaks, start)
+        fixed.append((start, end, r, sure, odd[t] >= oddity(r), line))
         if sure:
-            damaged_lines.add(text.count("\n", 0, start))
-    for start, end, r, sure, better in fixed:
-        if sure or better and text.count("\n", 0, start) in damaged_lines:
+            damaged_lines.add(line)
+    for start, end, r, sure, better, line in fixed:
+        if sure or better and line in damaged_lines:
             spans.append((start, end, r))
     return spans
 
@@ -211,22 +264,25 @@ def _total_oddity(text: str) -> int:
     return sum(oddity(m.group()) for m in TOKEN.finditer(text))
 
 
-def repair(text: str | None, passes: int = 3) -> tuple[bool, str | None]:
-    """``(damaged, restored text)``. Text garbled several times is repaired in as many passes. Characters that
-    were lost are left as they are, and make the text damaged. Null and plain ASCII are sound."""
+def repair(text: str | None) -> tuple[bool, str | None]:
+    """``(damaged, restored text)``. Text garbled several times, or in parts by several pairs of encodings, is repaired
+    pass by pass until no garbled sequence is left or none can be mended: every pass but the last makes the text less
+    odd or shorter, so there is an end. Characters that were lost are left as they are, and make the text
+    damaged. Null and plain ASCII are sound."""
     if not text or text.isascii():
         return False, text
     damaged = LOST in text
-    for _ in range(passes):
+    state = (_total_oddity(text), len(text))
+    while True:
         found = [x for x in (_utf8_spans(text), _byte_spans(text)) if x]
         if not found:
-            break
+            return damaged, text
         damaged = True
         new = min((_apply(text, x) for x in found), key=_total_oddity)
-        if new == text:
-            break
-        text = new
-    return damaged, text
+        after = (_total_oddity(new), len(new))
+        if new == text or after[0] > state[0] or after[0] == state[0] and after[1] >= state[1]:
+            return damaged, new if after[0] <= state[0] else text
+        text, state = new, after
 
 
 def repair_column(text: Column) -> Column:

@@ -65,3 +65,21 @@ def test_table(spark):
     df = spark.createDataFrame([(1, bad, "x"), (1, bad, "x"), (2, "sound", "y"), (3, None, "z"), (4, "", "z"), (None, bad, "z"), (5, FRENCH, "q")], "doc_id long, text string, restored string")
     assert [tuple(r) for r in X.damaged_documents(df).collect()] == [(1, "préféré")]
     assert X.damaged_documents(df.limit(0)).count() == 0
+
+
+def test_parts_garbled_by_different_pairs_are_all_repaired():
+    one = "".join(X.read_byte(b, "cp1252") for b in RUSSIAN.encode("cp1251"))
+    two = "".join(X.read_byte(b, "mac_roman") for b in GERMAN.encode("cp1252"))
+    three = "".join(X.read_byte(b, "cp1252") for b in FRENCH.encode())
+    four = "".join(X.read_byte(b, "cp1250") for b in FRENCH.encode())
+    damaged, restored = X.repair("\n\n".join((one, two, three, four)))
+    parts = restored.split("\n\n")
+    assert damaged and parts[2] == FRENCH
+    for got, want in ((parts[0], RUSSIAN), (parts[1], GERMAN), (parts[3], FRENCH)):
+        assert sum(a == b for a, b in zip(got.split(), want.split())) >= 0.8 * len(want.split())
+
+
+def test_many_lines():
+    bad = "".join(X.read_byte(b, "cp1252") for b in RUSSIAN.encode("cp1251"))
+    damaged, restored = X.repair("\n".join([GERMAN] * 3000 + [bad]))
+    assert damaged and restored.startswith(GERMAN) and restored.endswith(RUSSIAN[-20:])
