@@ -231,39 +231,34 @@ def similar_sets(docs: DataFrame, k: int = 5, similarity: float = 0.8, recall: f
     return materialize(links, "links"), members.select("space", "id", "class_id")
 
 
-def expand(links: DataFrame, members: DataFrame, most: int | None = None, block: int = 1000) -> DataFrame:
+def expand(links: DataFrame, members: DataFrame, block: int = 1000) -> DataFrame:
     """``space, id_a, id_b`` of all similar records: links and copies of their sets.
 
     Copies of one set are paired with each other, in blocks of about ``block`` of them, and with the copies of linked
-    sets, however many there are. With ``most``, each copy of a set with more copies is linked to the lowest id only,
-    which stands for it in the links; ``groups`` has the membership then.
+    sets, however many there are. ``groups`` has one row a record instead, with its class and its links.
     """
-    several = members.groupBy("space", "class_id").agg(F.count("*").alias("copies"))
-    sized = members.join(several, ["space", "class_id"])
-    paired = F.lit(True) if most is None else F.col("copies") <= most
-    shown = sized.where(paired | (F.col("id") == F.col("class_id"))).select("space", "class_id", "id")
-    dup = sized.where(F.col("copies") > 1)
-    star = dup.where(~paired & (F.col("id") != F.col("class_id"))).select("space", F.col("class_id").alias("id_a"), F.col("id").alias("id_b"))
+    several = members.groupBy("space", "class_id").agg(F.count("*").alias("copies")).where(F.col("copies") > 1)
     blocks = F.ceil(F.col("copies") / block).cast("int")
-    few = dup.where(paired).withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    few = members.join(several, ["space", "class_id"]).withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     few = few.select("space", "class_id", "id", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("space", "class_id", "lo", "hi")]
     inside = few.alias("a").join(few.alias("b"), [*on, F.col("a.id") < F.col("b.id"), (F.col("a.own") != F.col("b.own")) | (F.col("a.lo") == F.col("a.hi"))]).select("a.space", F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
-    x = shown.select("space", F.col("class_id").alias("id_a"), F.col("id").alias("x"))
-    y = shown.select("space", F.col("class_id").alias("id_b"), F.col("id").alias("y"))
+    x = members.select("space", F.col("class_id").alias("id_a"), F.col("id").alias("x"))
+    y = members.select("space", F.col("class_id").alias("id_b"), F.col("id").alias("y"))
     across = links.join(x, ["space", "id_a"]).join(y, ["space", "id_b"]).select("space", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    return across.unionByName(inside).unionByName(star)
+    return across.unionByName(inside)
 
 
-def groups(links: DataFrame, members: DataFrame, rounds: int = 50) -> DataFrame:
+def groups(links: DataFrame, members: DataFrame) -> DataFrame:
     """``space, id, group_id, n_links``: every record with the lowest id that links lead to, and its set's links.
 
     Each round takes the lowest label among neighbours and then the label's own label, so that chains shorten by
-    half; it ends when no label changes. Labels stay in the shared folder, never on the driver.
+    half; it goes on until no label changes, which labels that only fall must reach. Labels stay in the shared folder,
+    never on the driver.
     """
     both = links.select("space", F.col("id_a").alias("id"), F.col("id_b").alias("other")).unionByName(links.select("space", F.col("id_b").alias("id"), F.col("id_a").alias("other")))
     labels = materialize(both.groupBy("space", "id").agg(F.least("id", F.min("other")).alias("label"), F.count("*").alias("n_links")), "labels")
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.select("space", F.col("id").alias("other"), "label"), ["space", "other"]).groupBy("space", "id").agg(F.min("label").alias("near"))
         low = labels.join(near, ["space", "id"]).select("space", "id", "n_links", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select("space", F.col("id").alias("label"), F.col("label").alias("far"))

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -16,20 +16,24 @@ PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 
 
 @lru_cache(maxsize=2)
-def encoding(path: str):
+def encoding(vocabulary: bytes):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("vocabulary", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_count(text: Column, vocabulary: str = DEFAULT_VOCABULARY) -> Column:
-    """Tokens of ``text`` (int): 0 for null and empty text."""
+    """Tokens of ``text`` (int): 0 for null and empty text.
+
+    The driver reads the vocabulary file (about a megabyte) and sends it to the tasks; no executor needs the file.
+    """
+    with open(vocabulary, "rb") as f:
+        shared = SparkSession.active().sparkContext.broadcast(f.read())
 
     @F.pandas_udf("int")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc = encoding(vocabulary)
+        enc = encoding(shared.value)
         for texts in batches:
             yield pd.Series([len(enc.encode_ordinary(t)) if t else 0 for t in texts], dtype="int32")
 

@@ -62,7 +62,7 @@ def test_recall_at_the_threshold_where_every_bucket_is_split_to_the_last_depth(s
 def test_many_copies_are_linked_to_one(spark):
     docs = spark.createDataFrame([(0, i, "same five words in here") for i in range(30)], "space int, id long, text string")
     links, members = N.similar_sets(docs, 3, 0.5)
-    assert links.count() == 0 and N.expand(links, members, most=10).count() == 29 and N.expand(links, members).count() == 30 * 29 // 2
+    assert links.count() == 0 and N.expand(links, members).count() == N.expand(links, members, block=7).count() == 30 * 29 // 2
 
 
 def test_pairs_of_a_large_group_are_all_given(spark):
@@ -92,3 +92,12 @@ def test_very_long_text(spark):
     docs = spark.createDataFrame([(0, 1, long), (0, 2, long + " end")], "space int, id long, text string")
     links, members = N.similar_sets(docs, 3, 0.5)
     assert [tuple(r) for r in links.collect()] == [(0, 1, 2)]
+
+
+def test_long_chains_reach_one_group(spark):
+    """300 links in a row, and more copies of one set than any bound that there was."""
+    links = spark.createDataFrame([(0, i, i + 1) for i in range(300)], "space int, id_a long, id_b long")
+    members = spark.createDataFrame([(0, i, i) for i in range(301)] + [(0, 1000 + i, 300) for i in range(1500)] + [(1, 5, 5)], "space int, id long, class_id long")
+    got = {(r.space, r.id): (r.group_id, r.n_links) for r in N.groups(links, members).collect()}
+    assert len(got) == 1802 and {g for (s, _), (g, _) in got.items() if s == 0} == {0}
+    assert got[0, 0] == (0, 1) and got[0, 7] == (0, 2) and got[0, 1300] == (0, 1) and got[1, 5] == (5, 0)
