@@ -103,15 +103,21 @@ class Trie:
     def __init__(self) -> None:
         self.next: list[dict[str, int]] = [{}]
         self.ends: list[list[tuple[int, int, int]]] = [[]]
+        #: Of the paths through a node: the edits that one allows at most, the letters that are left at least and at most.
+        self.below: list[tuple[int, int, int]] = [(0, 1 << 30, 0)]
 
     def add(self, path: str, entry: int, edits: int, rank: int) -> None:
         node = 0
-        for c in path:
+        for i, c in enumerate(path):
             if c not in self.next[node]:
                 self.next[node][c] = len(self.next)
                 self.next.append({})
                 self.ends.append([])
+                self.below.append((0, 1 << 30, 0))
             node = self.next[node][c]
+            most, least, longest = self.below[node]
+            left = len(path) - i - 1
+            self.below[node] = (max(most, edits), min(least, left), max(longest, left))
         if all(e != entry or r > rank or d < edits for e, d, r in self.ends[node]):
             self.ends[node].append((entry, edits, rank))
 
@@ -128,22 +134,29 @@ class Trie:
         for i, c in enumerate(word):
             letters[c] = letters.get(c, 0) | 1 << i
         first = [(1 << (d + 1)) - 1 & full for d in range(most + 1)]
-        stack = [(0, first, [0] * (most + 1))]
+        stack = [(0, 0, first, [0] * (most + 1))]
         while stack:
-            node, states, swaps = stack.pop()
+            node, depth, states, swaps = stack.pop()
             if self.ends[node]:
                 distance = next((d for d, s in enumerate(states) if s >> n & 1), None)
                 if distance is not None:
                     found += [(distance, rank, entry) for entry, edits, rank in self.ends[node] if distance <= edits]
+            depth += 1
             for c, child in self.next[node].items():
+                edits, least, longest = self.below[child]
+                edits = min(edits, most)
+                if not depth + least - edits <= n <= depth + longest + edits:
+                    continue  # all paths there are too long or too short
                 s = letters.get(c, 0)
                 new, swapping = [(states[0] & s) << 1], [0]
-                for d in range(1, most + 1):
+                alive = new[0]
+                for d in range(1, min(edits, len(states) - 1) + 1):
                     before = states[d - 1]
                     new.append(((states[d] & s) << 1 | before << 1 | before | new[d - 1] << 1 | (swaps[d] & s) << 2) & full)
                     swapping.append(before & s >> 1)
-                if any(new):
-                    stack.append((child, new, swapping))
+                    alive |= new[d]
+                if alive:
+                    stack.append((child, depth, new, swapping))
         return found
 
 
