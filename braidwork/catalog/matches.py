@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from braidwork.catalog import ORACLE
 from braidwork.catalog.base import CV, VAC, Tables, lit, query, rnd_sql
 from braidwork.catalog.ranks import PAIRS
 from braidwork.catalog.texts import _tech_sql
@@ -50,7 +51,9 @@ def weights(t: Tables, sublinear: bool = True) -> DataFrame:
 
 
 def text_pairs(t: Tables) -> DataFrame:
-    return scored_pairs(t.match_results).join(t.cv.select("cv_id"), "cv_id", "left_semi").join(t.vac.select("vacancy_id"), "vacancy_id", "left_semi").select("cv_id", "vacancy_id")
+    """Ids only: the texts are not read for it, nor shuffled."""
+    c, v = t.cv_data.where("text IS NOT NULL").select("cv_id"), t.vacancies.where("job_description IS NOT NULL").select("vacancy_id")
+    return scored_pairs(t.match_results).join(c, "cv_id", "left_semi").join(v, "vacancy_id", "left_semi").select("cv_id", "vacancy_id")
 
 
 def cosine(t: Tables, sublinear: bool = True) -> DataFrame:
@@ -95,6 +98,31 @@ def q_top_terms(t: Tables) -> DataFrame:
     return G.top_terms(w, "key", 10).select("kind", "id", "term", F.round("w", 4).alias("weight"), "place")
 
 
+@query(f"SELECT kind, id, string_agg(term || '=' || CAST(CAST(round(round(w, 4) * 10000) AS BIGINT) AS VARCHAR), '|' ORDER BY place) AS terms FROM (SELECT *, row_number() OVER (PARTITION BY kind, id ORDER BY round(w, 9) DESC, term) AS place FROM {_weights_sql(True)} WHERE w > 0) WHERE place <= 20 GROUP BY kind, id")
+def q_term_map(t: Tables) -> DataFrame:
+    """The 20 heaviest terms with their weights, here in ten-thousandths."""
+    m = G.term_map(weights(t), ["kind", "id"]).select("kind", "id", F.map_entries("terms").alias("e"))
+    return m.select("kind", "id", F.array_join(F.transform("e", lambda x: F.concat_ws("=", x["key"], F.round(x["value"] * 10000).cast("bigint").cast("string"))), "|").alias("terms"))
+
+
+@query(f"""SELECT cv_id, coalesce(phrases, '') AS phrases, {', '.join(X.CATEGORIES)} FROM ({ORACLE['q_category_skills']}) LEFT JOIN
+(SELECT id AS cv_id, string_agg(term, '|' ORDER BY place) AS phrases FROM (SELECT *, row_number() OVER (PARTITION BY kind, id ORDER BY round(w, 9) DESC, term) AS place FROM {_weights_sql(True)} WHERE w > 0) WHERE kind = 'cv' AND place <= 20 GROUP BY id) USING (cv_id)""")
+def q_extract_skills(t: Tables) -> DataFrame:
+    """Key phrases and the terms of every category in one struct, here as columns."""
+    w = weights(t).where("kind = 'cv'").select(F.col("id").alias("cv_id"), "term", "w")
+    s = G.extract_skills(t.cv, w, "cv_id", "text")
+    return s.select("cv_id", F.array_join("skills.phrases", "|").alias("phrases"), *[F.array_join(f"skills.{c}", ",").alias(c) for c in X.CATEGORIES])
+
+
+@query()
+def q_rank_encoder(t: Tables) -> DataFrame:
+    """Each CV's scored vacancies by the dot product of the encoded texts, which SQL has no encoder for."""
+    c = materialize(t.cv.select("cv_id", S.encode(T.prepare(F.col("text"))).alias("a")), "encoded")
+    v = materialize(t.vac.select("vacancy_id", S.encode(T.prepare(F.col("job_description"))).alias("b")), "encoded")
+    d = text_pairs(t).join(c, "cv_id").join(v, "vacancy_id").select("cv_id", "vacancy_id", F.round(100 * S.dot(F.col("a"), F.col("b")), 4).alias("similarity"))
+    return R.rank_in_groups(d, "cv_id", "similarity", ["vacancy_id"]).select("cv_id", "vacancy_id", "similarity", "rank")
+
+
 def _cosine_sql(sublinear: bool) -> str:
     w = _weights_sql(sublinear)
     return f"""(WITH w AS MATERIALIZED {w} SELECT p.cv_id, p.vacancy_id, coalesce(d.dot, 0.0) AS dot FROM {TEXT_PAIRS} p LEFT JOIN
@@ -346,6 +374,18 @@ def q_keyword_score(t: Tables) -> DataFrame:
     return matches(t).select("cv_id", "vacancy_id", "keyword_score")
 
 
+_EXPERIENCE = "SELECT cv_id, max(experience) AS e FROM cv_data WHERE experience IS NOT NULL GROUP BY cv_id"
+_ADJUSTED = "CASE WHEN e IS NULL OR required_years IS NULL THEN s ELSE greatest(0.0, least(100.0, CASE WHEN e > 2 * required_years THEN s - 5 WHEN e >= required_years THEN s + 5 ELSE s END)) END"
+
+
+@query(f"SELECT cv_id, vacancy_id, s AS forward, CAST({_ADJUSTED} AS DOUBLE) AS reverse FROM (SELECT *, CAST({_SCORE} AS DOUBLE) AS s FROM {_M}) LEFT JOIN ({_EXPERIENCE}) USING (cv_id) LEFT JOIN ({ORACLE['q_required_years']}) USING (vacancy_id)")
+def q_experience_score(t: Tables) -> DataFrame:
+    """Keyword scores of both directions: required years count in the reverse one only."""
+    e = t.cv_data.where("experience IS NOT NULL").groupBy("cv_id").agg(F.max("experience").alias("experience"))
+    r = t.vac.select("vacancy_id", T.required_years(F.col("job_description")).alias("required"))
+    return K.both_directions(matches(t), e, r).select("cv_id", "vacancy_id", "forward", "reverse")
+
+
 @query(f"""SELECT cv_id, vacancy_id, concat_ws(chr(10), s || ' ' || CASE WHEN s >= 80 THEN 'excellent' WHEN s >= 60 THEN 'good' WHEN s >= 40 THEN 'medium' ELSE 'weak' END, 'exact: ' || array_to_string(list_slice(list_sort(exact), 1, 5), ', '),
 'synonym: ' || array_to_string(list_slice(list_sort(synonym), 1, 3), ', '), 'fuzzy: ' || array_to_string(list_slice(list_sort(exact), 1, 3), ', '),
 'missing: ' || array_to_string(list_transform(list_slice(list_sort(missing), 1, 8), lambda m: CASE WHEN coalesce(list_filter(wt, lambda x: x.s = m)[1].w, 1.0) > 1.2 THEN m || '!' ELSE m END), ', ')) AS explanation FROM (SELECT *, CAST({_SCORE} AS DOUBLE) AS s FROM {_M})""")

@@ -9,6 +9,7 @@ from braidwork.catalog.base import CV, VAC, Tables, count_sql, first_section_sql
 from braidwork.functions import checks as C
 from braidwork.functions import lexicons as X
 from braidwork.functions import text as T
+from braidwork.operators import matching as K
 
 
 def _year(n: str) -> str:
@@ -197,14 +198,9 @@ m AS (SELECT vacancy_id, part, min_by(canonical, catalog_id) AS c FROM (SELECT *
 SELECT vacancy_id, coalesce(c, part) AS skill FROM m GROUP BY ALL""")
 def q_skills_from_text(t: Tables) -> DataFrame:
     """Parts of a text by the first entry of a reference list that occurs in them, else as they stand."""
-    names = sorted((r["catalog_id"], r["canonical"], n.lower()) for r in t.catalog_entries.limit(10_000).collect() for n in (r["canonical"], *(r["other_names"] or ())))
-    by_entry: dict[str, list[str]] = {}
-    for _, canonical, name in names:
-        by_entry.setdefault(canonical, []).append(name)
     parts = t.vac.select("vacancy_id", F.explode(F.split("job_description", "[,;•\n]")).alias("p")).select("vacancy_id", T.strip(F.col("p")).alias("part")).where(F.length("part") > 1).distinct()
-    low = F.lower("part")
-    entries = F.array(*[F.struct(F.lit(c).alias("c"), F.array(*[F.lit(n) for n in ns]).alias("ns")) for c, ns in by_entry.items()])
-    first = F.get(F.filter(entries, lambda e: F.exists(e["ns"], lambda n: low.contains(n))), F.lit(0))["c"]
+    entries = K.reference_names(t.catalog_entries.where("catalog_id IS NOT NULL AND canonical IS NOT NULL").select("catalog_id", "canonical", "other_names"))
+    first = K.first_named(F.col("part"), entries)
     return parts.select("vacancy_id", F.coalesce(first, "part").alias("skill")).distinct()
 
 

@@ -25,6 +25,38 @@ def normalize(skills: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(known, one), lambda s: s != ""))
 
 
+def reference_names(catalog: DataFrame, most: int = 200_000) -> list[tuple[str, str]]:
+    """``(name, canonical name)`` in the order of ``catalog_id`` of ``catalog_id, canonical, other_names``, lower-cased
+    names; more than ``most`` entries are an error, since the list goes to every task."""
+    rows = catalog.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the reference list has more than {most} entries")
+    return [(n.lower(), r["canonical"]) for r in sorted(rows, key=lambda r: (r["catalog_id"], r["canonical"])) for n in (r["canonical"], *(r["other_names"] or ())) if n]
+
+
+def first_named(text: Column, names: list[tuple[str, str]]) -> Column:
+    """The canonical name of the first list entry, one of whose names occurs in the text, else null.
+
+    All names are searched for at once, by one automaton per task: the work follows the text, not the list.
+    """
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for place, (name, _) in enumerate(names):
+            if not automaton.exists(name):
+                automaton.add_word(name, place)
+        if names:
+            automaton.make_automaton()
+        for texts in batches:
+            places = [min((p for _, p in automaton.iter(t.lower())), default=None) if t and names else None for t in texts]
+            yield pd.Series([None if p is None else names[p][1] for p in places], dtype="object")
+
+    return run(text)
+
+
 def synonym_map(catalog: DataFrame, most: int = 10_000) -> dict[str, str]:
     """Name -> canonical name, lower-cased, from a reference list of at most ``most`` entries; the lowest id wins."""
     rows = catalog.where("entry_kind = 'skill'").orderBy("catalog_id").limit(most + 1).collect()
@@ -38,7 +70,7 @@ def synonym_map(catalog: DataFrame, most: int = 10_000) -> dict[str, str]:
 
 
 def canonical(skills: Column, synonyms: dict[str, str]) -> Column:
-    """Each skill's canonical name, or the skill itself, distinct."""
+    """Each skill's canonical name, or the skill itself, distinct. The map is searched from its front: keep it short."""
     if not synonyms:
         return F.array_distinct(skills)
     m = F.create_map(*[F.lit(x) for kv in synonyms.items() for x in kv])
@@ -148,6 +180,15 @@ def with_experience(score: Column, experience: Column, required: Column) -> Colu
     return F.when(experience.isNull() | required.isNull(), score).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), adjusted)))
 
 
+def both_directions(matches: DataFrame, experience: DataFrame, required: DataFrame) -> DataFrame:
+    """Adds ``forward`` and ``reverse`` keyword scores: the experience rule acts on a vacancy's ranking of resumes only.
+
+    ``experience``: ``cv_id, experience``; ``required``: ``vacancy_id, required``; ids without one are left unchanged.
+    """
+    d = matches.join(experience, "cv_id", "left").join(required, "vacancy_id", "left")
+    return d.withColumn("forward", F.col("keyword_score")).withColumn("reverse", with_experience(F.col("keyword_score"), F.col("experience"), F.col("required"))).drop("experience", "required")
+
+
 def explanation(matches: DataFrame) -> DataFrame:
     """``cv_id, vacancy_id, explanation``: a band, up to 5 exact, 3 synonym and 3 fuzzy matches, up to 8 missing skills,
     those of weight above 1.2 flagged."""

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidwork.operators.terms import char_ngrams
+from braidwork.session import materialize
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -55,7 +56,7 @@ def bm25(pairs: DataFrame, queries: DataFrame, corpus: DataFrame, k1: float = 1.
     all; a query word counts as often as it occurs.
     """
     q = queries.select("cv_id", F.explode("tokens").alias("term")).groupBy("cv_id", "term").agg(F.count("*").alias("qtf"))
-    d = corpus.select("vacancy_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("vacancy_id", "dl", "term").agg(F.count("*").alias("tf"))
+    d = materialize(corpus.select("vacancy_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("vacancy_id", "dl", "term").agg(F.count("*").alias("tf")), "terms")
     n, avgdl = corpus.agg(F.count("*").alias("n")).scalar(), corpus.agg(F.avg(F.size("tokens")).alias("avgdl")).scalar()
     raw = d.groupBy("term").agg(F.count("*").alias("df")).select("term", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
     mean = raw.agg(F.avg("idf").alias("mean")).scalar()

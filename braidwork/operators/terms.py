@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from braidwork.functions.lexicons import KEYWORD_STOP_WORDS, STOP_WORDS
-from braidwork.functions.text import let
+from braidwork.functions.lexicons import CATEGORIES, KEYWORD_STOP_WORDS, STOP_WORDS
+from braidwork.functions.text import category_skills, let
 
 
 def top_keywords(docs: DataFrame, key: str, text: str, n: int = 10) -> DataFrame:
@@ -77,6 +77,25 @@ def top_terms(weights: DataFrame, key: str, n: int = 10) -> DataFrame:
     return weights.where(F.col("w") > 0).withColumn("place", F.row_number().over(best)).where(F.col("place") <= n)
 
 
+def term_map(weights: DataFrame, keys: Sequence[str], n: int = 20, digits: int = 4) -> DataFrame:
+    """``keys, terms``: a document's ``n`` terms of highest weight as a map from term to weight, best first."""
+    best = Window.partitionBy(*keys).orderBy(F.desc(F.round("w", 9)), "term")
+    top = weights.where(F.col("w") > 0).withColumn("place", F.row_number().over(best)).where(F.col("place") <= n)
+    rows = top.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", "term", F.round("w", digits).alias("w")))).alias("p"))
+    return rows.select(*keys, F.map_from_entries(F.transform("p", lambda x: F.struct(x["term"], x["w"]))).alias("terms"))
+
+
+def extract_skills(docs: DataFrame, weights: DataFrame, key: str, text: str, n: int = 20) -> DataFrame:
+    """``key, skills``: one struct of a document's ``n`` key phrases (``phrases``) and its terms of every category.
+
+    ``weights``: ``key, term, w``. A document without a weighted term has no phrases.
+    """
+    phrases = term_map(weights, [key], n).select(key, F.map_keys("terms").alias("phrases"))
+    every = [category_skills(F.col(text), c).alias(c) for c in CATEGORIES]
+    found = docs.join(phrases, key, "left").withColumn("phrases", F.coalesce("phrases", F.array().cast("array<string>")))
+    return found.select(key, F.struct("phrases", *every).alias("skills"))
+
+
 def pair_dot(pairs: DataFrame, left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """Dot product of two sparse vectors for every given pair; pairs without a common term have 0.
 

@@ -61,10 +61,16 @@ def candidate_pairs(resumes: DataFrame, vacancies: DataFrame, per_block: int = 1
 
 
 def score(resumes: DataFrame, vacancies: DataFrame, pairs: DataFrame, synonyms: dict[str, str], features: int = 1000) -> DataFrame:
-    """The pair table: keyword, TF-IDF, semantic, BM25 and unified scores of the given pairs, written once."""
+    """The pair table: keyword, TF-IDF, semantic, BM25 and unified scores of the given pairs, written once.
+
+    ``keyword_reverse`` is the keyword score in the ranking of a vacancy's resumes, where years of experience count.
+    """
     c = K.cv_features(resumes, synonyms)
     v = K.vacancy_features(vacancies, synonyms)
-    kw = K.keyword_match(pairs, c, v).select("cv_id", "vacancy_id", "keyword_score")
+    alike = K.fuzzy_table(c.select(F.explode("norm").alias("a")), v.select(F.explode("each").alias("b"))).select("a", "b")
+    kw = K.keyword_match(pairs, c, v, materialize(alike, "alike"))
+    kw = K.both_directions(kw, resumes.select("cv_id", F.col("experience").cast("double").alias("experience")), vacancies.select("vacancy_id", F.col("required_years").alias("required")))
+    kw = kw.select("cv_id", "vacancy_id", "keyword_score", F.col("reverse").alias("keyword_reverse"))
     corpus = resumes.select(F.lit("cv").alias("kind"), F.col("cv_id").alias("id"), "text").unionByName(vacancies.select(F.lit("vacancy").alias("kind"), F.col("vacancy_id").alias("id"), F.col("job_description").alias("text")))
     counts = G.term_counts(corpus, ["kind", "id"], G.word_ngrams(F.col("text")))
     w = G.tfidf(counts, ["kind", "id"], corpus.count(), G.vocabulary(counts, features))

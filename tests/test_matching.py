@@ -90,3 +90,19 @@ def test_distances_and_encoder(spark):
     assert (r.l1, round(r.l2, 6), r.cosine, r.other, r.zero) == (2.0, 1.414214, 1.0, 2.0, 1.0)
     rows = spark.createDataFrame([("python developer",), ("python developer",), (None,)], "t string").select(S.encode(F.col("t")).alias("v")).collect()
     assert rows[0].v == rows[1].v and abs(sum(x * x for x in rows[0].v) - 1) < 1e-5 and sum(map(abs, rows[2].v)) == 0
+
+
+def test_reference_lists_beyond_ten_thousand_names(spark):
+    rows = [(i, f"entry {i:05d} end", [f"other {i:05d} end"]) for i in range(12_000)] + [(20_000, None, None)]
+    names = K.reference_names(spark.createDataFrame(rows, "catalog_id int, canonical string, other_names array<string>").where("canonical IS NOT NULL"))
+    d = spark.createDataFrame([("knows Entry 11999 end and other 11990 END",), ("nothing",), (None,), ("",)], "part string")
+    assert [r.c for r in d.select(K.first_named(d.part, names).alias("c")).collect()] == ["entry 11990 end", None, None, None]
+    assert [r.c for r in d.select(K.first_named(d.part, []).alias("c")).collect()] == [None] * 4
+
+
+def test_experience_counts_in_one_direction(spark):
+    m = spark.createDataFrame([(1, 1, 50.0), (2, 1, 50.0), (3, 1, 98.0), (4, 1, 2.0), (5, 2, 50.0)], "cv_id long, vacancy_id long, keyword_score double")
+    e = spark.createDataFrame([(1, 1.0), (2, 4.0), (3, 4.0), (4, 40.0)], "cv_id long, experience double")
+    r = spark.createDataFrame([(1, 4)], "vacancy_id long, required int")
+    got = {x.cv_id: (x.forward, x.reverse) for x in K.both_directions(m, e, r).collect()}
+    assert got == {1: (50.0, 50.0), 2: (50.0, 55.0), 3: (98.0, 100.0), 4: (2.0, 0.0), 5: (50.0, 50.0)}
