@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -56,7 +57,18 @@ def materialize(df: DataFrame, tag: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{_run_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._written_to = path
+    return written
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that ``materialize`` wrote and nothing reads any more, and has the driver's cleaner look for the
+    shuffle files of finished steps, which it would else keep until its heap is full."""
+    spark = df.sparkSession
+    _delete(spark, df._written_to)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def _run_folder(spark: SparkSession) -> str:
@@ -65,8 +77,11 @@ def _run_folder(spark: SparkSession) -> str:
 
 def clean_up(spark: SparkSession) -> None:
     """Deletes what this application has written into the shared folder; results that read it must be stored before."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_run_folder(spark))
+    _delete(spark, _run_folder(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
