@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.session import materialize
+from braidwork.session import discard, materialize
 
 WORD = re.compile(r"[^\W_]+")
 #: Min-hashes that paths are chosen by; the first ones of those that the sketch has a bit of.
@@ -217,7 +217,9 @@ def similar_sets(docs: DataFrame, k: int = 5, similarity: float = 0.8, recall: f
     same = heads.select("space", "id", F.col("fp1").alias("__1"), F.col("fp2").alias("__2"), F.col("n").alias("__n"))
     kept = F.col("fp1").bitwiseXOR(F.col("__1")).bitwiseOR(F.col("fp2").bitwiseXOR(F.col("__2"))).bitwiseOR(F.col("n").bitwiseXOR(F.col("__n")).cast("long")) == 0
     distinct_sets = materialize(sigs.join(same, ["space", "id"]).where(kept).select(sigs.columns).dropDuplicates(["space", "id"]), "sets")
+    discard(sigs)
     maybe = materialize(candidates(distinct_sets, similarity, recall), "candidates")
+    discard(distinct_sets)
     wanted = maybe.select("space", F.col("id_a").alias("id")).unionByName(maybe.select("space", F.col("id_b").alias("id"))).distinct()
     wanted = wanted.join(heads.select("space", "id", "fp1"), ["space", "id"])  # of unequal texts under one id, the one that was compared
     wanted = materialize(wanted, "wanted")
